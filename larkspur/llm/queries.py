@@ -1,11 +1,15 @@
 """The corpus operators' queries, by the name under which they are registered, and their SQL where it can express them."""
 
+from .language_id import op7_language_id
+from .simhash import op5_simhash
 from .spm_codec import op10_sentencepiece
 from .token_counts import op8_token_counts
 from .token_files import op6_token_files
 
 QUERIES = {
+    "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
+    "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
