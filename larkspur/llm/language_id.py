@@ -205,7 +205,7 @@ class Identifier:
     def totals(self, texts: list[str]) -> np.ndarray:
         """Per text: log probability by language, then the number of signs."""
         split = [t.lower().split() for t in texts]
-        new = list(set().union(*split) - self.at.keys()) if split else []
+        new = list(set().union(*split).difference(self.at))
         if len(self.at) + len(new) > CACHE_WORDS:
             self.at.clear()
             self.rows = self.rows[:0]
