@@ -2,6 +2,7 @@
 
 from .decontaminate import op4_decontaminate
 from .flac import op3_flac
+from .html_extract import op1_html_extract
 from .language_id import op7_language_id
 from .line_dedup import op9_line_dedup
 from .pii import op2_pii
@@ -11,6 +12,7 @@ from .token_counts import op8_token_counts
 from .token_files import op6_token_files
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_pii": op2_pii,
     "op3_flac": op3_flac,
     "op4_decontaminate": op4_decontaminate,
