@@ -30,7 +30,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, table
@@ -64,18 +64,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Equal for rows with equal id and text."""
+    return F.xxhash64(id_col, text_col)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp (the fingerprint's bits as a signed long)."""
+    """Per row: doc_id, key (a hash of id and text), fp (the fingerprint's bits as a signed long)."""
 
     def factory():
         def run(batch):
-            fps = [_signed(fingerprint(x, shingle)) for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [_signed(fingerprint(x, shingle)) for x in batch.column(2).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
         return run
 
-    cols = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text")]
-    return map_batches(docs, cols, factory, "doc_id long, fp long")
+    cols = [docs[id_col].cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), docs[text_col].cast("binary").alias("text")]
+    return map_batches(docs, cols, factory, "doc_id long, key long, fp long")
 
 
 class BKTree:
@@ -235,7 +240,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, chunk: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp, component_id (the smallest doc_id reachable by links, itself included)."""
+    """Per row: doc_id, key, fp, class (a fingerprint that names the component), component_id (the smallest doc_id reachable by links, itself included)."""
     own = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = components(links(distinct.select("fp"), distinct.count(), radius, chunk))
@@ -243,9 +248,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, chunk: i
     named = named.union(found.select("root").distinct().join(distinct.withColumnRenamed("fp", "root"), "root").select("root", "first"))
     best = named.groupBy("root").agg(F.min("first").alias("best"))
     found = found.union(found.select(F.col("root").alias("node"), "root").distinct())
-    named = found.join(best, "root").select(F.col("node").alias("fp"), "best")
-    names = distinct.join(named, "fp", "left").select("fp", F.coalesce("best", "first").alias("component_id"))
-    return own.join(names, "fp").select("doc_id", "fp", "component_id")
+    named = found.join(best, "root").select(F.col("node").alias("fp"), "root", "best")
+    names = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("class"), F.coalesce("best", "first").alias("component_id"))
+    return own.join(names, "fp").select("doc_id", "key", "fp", "class", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4, chunk: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of near-duplicates, with all its columns: that of the smallest id (nulls last), of equal ids any text, of equal rows one."""
+    found = near_duplicates(docs, shingle, radius, chunk, id_col, text_col)
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
+    rows = docs.withColumn("__key", row_key(id_col, text_col))
+    return rows.join(first, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
