@@ -58,3 +58,9 @@ def batch_of(**columns) -> pa.RecordBatch:
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column as Python strings, null as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """df without columns of these names in any case; new columns of those names take their place."""
+    taken = {x.lower() for x in names}
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])

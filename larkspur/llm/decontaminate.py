@@ -13,7 +13,8 @@ between, not a larger broadcast. Counts of shingles cover all documents.
 
 Defined results: a null or empty text, on either side, has no words; repeated windows, items and rows
 count once each where they stand; items with a null id mark words but are not listed; an empty
-benchmark contaminates nothing; extra columns of documents are kept by `contamination`; an empty
+benchmark contaminates nothing; extra columns of documents are kept, except that a column with the name
+of a new one is replaced; an empty
 table gives an empty table.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, materialize, table
+from .common import map_batches, materialize, table, without
 
 SHINGLE = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -194,8 +195,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, text_col:
     """All columns of docs and {prefix}n_words, {prefix}spans (disjoint word ranges hit, end exclusive), {prefix}items (ids, ascending)."""
     spark = docs.sparkSession
     names = [f"{prefix}{x}" for x in ("n_words", "spans", "items")]
-    if clash := {x.lower() for x in names} & {x.lower() for x in docs.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}; give another prefix")
+    docs = without(docs, names)
     kind = dict(items.dtypes)[item_col]
     span = "array<struct<from:int,to:int>>"
     out = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.expr(f"cast(array() as {span})"), names[2]: F.expr(f"cast(array() as array<{kind}>)")})

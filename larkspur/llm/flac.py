@@ -405,7 +405,7 @@ def decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray, count: n
     coef, shift = np.zeros((max(most, 1), len(f)), np.int64), np.zeros(len(f), np.int64)
     for i, row in enumerate(FIXED):
         on = fixed[f] & (o == i)
-        for j, value in enumerate(row):
+        for j, value in enumerate(row if on.any() else ()):
             coef[j, on] = value
     lin = np.flatnonzero(linear[f])
     if len(lin):
@@ -441,8 +441,8 @@ def decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray, count: n
         w = int(begun[i])
         if not w:
             continue
-        due = np.flatnonzero((fresh[:w] == i) & (i < m[:w])) if not simple or i <= most else ()
-        if len(due):
+        # a first partition that the warm-up fills has a parameter and no residual: the next begins at the same sample
+        while (not simple or i <= most) and len(due := np.flatnonzero((fresh[:w] == i) & (i < m[:w]))):
             value = read(pos[due], field[due])
             pos[due] += field[due]
             esc = value == last[due]

@@ -286,7 +286,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: f
 # ---- training pages
 
 
-def training_pages(n: int = 160, seed: int = 11) -> list[str]:
+def training_pages(n: int = 240, seed: int = 11) -> list[str]:
     """Pages made from a rule; elements that belong to the article have the attribute keep."""
     r = random.Random(seed)
     words = "the of an in re on er sta la que de und mit les pour con una ting ver heit que ment tion ales oria".split()
@@ -355,6 +355,8 @@ def training_pages(n: int = 160, seed: int = 11) -> list[str]:
         if r.random() < 0.9:
             t = r.choice(("footer", "footer", "footer", "div"))
             end.append(f"<{t}{cls(['footer', 'site-footer', 'copyright'], 0.3 if t == 'footer' else 1)}>&copy; {prose(1, 2)}</{t}>")
+        if r.random() < 0.15:  # nothing around it
+            article, top, end = article.replace(body[0], "", 1) if r.random() < 0.5 else article, [], end if r.random() < 0.3 else []
         pages.append("<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(top) + article + "".join(end) + "</body></html>")
     return pages
 

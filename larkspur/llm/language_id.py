@@ -15,7 +15,7 @@ its cost doesn't grow with the table; everything else reads all rows and whole t
 
 Defined results: a null text or one without a letter is `und`, score 0, rejected; without any
 labelled row every text is `und`; repeated rows and ties (the alphabetically first language) give
-equal results; extra columns are ignored or kept; an empty table gives an empty table.
+equal results; extra columns are kept, except that a column with the name of a new one is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,13 +25,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, table, texts_of
+from .common import map_batches, table, texts_of, without
 
 ORDER = 5
 BEGIN, END = 1, 2
@@ -240,10 +239,11 @@ class Identifier:
         )
 
 
-def _fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One language's model from its sample, as one row."""
-    texts = [x or "" for x in pdf["text"]]
-    held = pdf["calibrate"].to_numpy(bool)
+def _fit_one(sample: pa.Table) -> pa.Table:
+    """One language's model from its sample, as one row; none if the sample has no word."""
+    texts = [x or "" for x in sample.column("text").to_pylist()]
+    held = np.array(sample.column("calibrate").to_pylist(), bool)
+    schema = pa.schema([("lang", pa.string()), ("model", pa.binary())])
     if held.all() or (~held).sum() < 6:
         held[:] = False
     words: dict[str, int] = {}
@@ -253,7 +253,7 @@ def _fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
                 if any(map(str.isalpha, w)):
                     words[w] = words.get(w, 0) + 1
     if not words:
-        return pd.DataFrame({"lang": [], "model": []})
+        return schema.empty_table()
     model = train(words)
     one = LanguageModels.combine(["x"], [model])
     ces, sds = [], []
@@ -265,7 +265,7 @@ def _fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
     buf = io.BytesIO()
     arrays = {f"{kind}{n}": getattr(model, kind)[n] for kind in ("keys", "logp", "gamma") for n in range(ORDER)}
     np.savez(buf, unseen=model.unseen, mean=np.mean(ces), sd=max(np.mean(sds), 0.1), **arrays)
-    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "model": [buf.getvalue()]})
+    return pa.table([[sample.column("lang")[0].as_py()], [buf.getvalue()]], schema=schema)
 
 
 def train_language_models(docs: DataFrame, per_lang: int = 256, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> LanguageModels:
@@ -282,7 +282,7 @@ def train_language_models(docs: DataFrame, per_lang: int = 256, lang_col: str =
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # at most MAX_LANGUAGES * per_lang short rows
     sample = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "text", (F.col("bucket") % 4 == 0).alias("calibrate"))
-    found = sample.groupBy("lang").applyInPandas(_fit_one, "lang string, model binary").orderBy("lang").collect()
+    found = sample.groupBy("lang").applyInArrow(_fit_one, "lang string, model binary").orderBy("lang").collect()
     langs, models, mean, sd = [], [], [], []
     for row in found:
         z = np.load(io.BytesIO(row.model))
@@ -296,10 +296,9 @@ def train_language_models(docs: DataFrame, per_lang: int = 256, lang_col: str =
 
 
 def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """All columns of docs and {prefix}lang_pred, {prefix}score, {prefix}cross_entropy, {prefix}rejected."""
+    """All columns of docs (one with a new one's name is replaced) and {prefix}lang_pred, {prefix}score, {prefix}cross_entropy, {prefix}rejected."""
     names = [f"{prefix}{x}" for x in ("lang_pred", "score", "cross_entropy", "rejected")]
-    if clash := {x.lower() for x in names} & {x.lower() for x in docs.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}; give another prefix")
+    docs = without(docs, names)
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the training sample
     kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
 

@@ -15,8 +15,9 @@ first place, and hot passages give one row a document, never pairs of documents.
 Defined results: a null text stays null and an empty one empty, neither has lines; blank lines are
 kept unless they stand inside a removed run or no other line is left (then the text is empty); a repeated
 passage inside one document loses its later copy as well; rows with equal doc_id and equal text are
-treated alike, as one document; null ids come before all others; extra columns are kept; an empty
-table gives an empty table.
+treated alike, as one document; null ids come before all others; extra columns are kept,
+except that n_lines and n_removed are replaced and names beginning with __ are reserved; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, table
+from .common import materialize, table, without
 
 BLANKS = " \t\r"
 
@@ -98,6 +99,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50, gram_words: int = 25, id_co
     """All columns of docs with the text cleaned, and {prefix}n_lines, {prefix}n_removed (of its non-blank lines)."""
     if not 0 < gram_words <= min_words:
         raise ValueError("gram_words must lie between 1 and min_words")
+    docs = without(docs, [f"{prefix}n_lines", f"{prefix}n_removed"])
     runs = repeated_runs(docs, min_words, gram_words, id_col, text_col).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
     rows = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(runs, "__key", "left")
     rows = rows.withColumn("__lines", F.split(F.col(text_col), "\n"))

@@ -1,5 +1,6 @@
 """The corpus operators' queries, by the name under which they are registered, and their SQL where it can express them."""
 
+from . import oracle
 from .decontaminate import op4_decontaminate
 from .flac import op3_flac
 from .html_extract import op1_html_extract
@@ -24,4 +25,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_decontaminate": oracle.DECONTAMINATE,
+    "op9_line_dedup": oracle.LINE_DEDUP,
+}
