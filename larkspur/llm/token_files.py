@@ -19,7 +19,10 @@ longer document gets a block of its own.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -139,27 +142,64 @@ class Shard:
         return [None] * self.nulls + [int(x) + self.base for x in self.names.all()]
 
 
-class WordIds(dict):
+class WordIds:
     """White-space-separated word (UTF-8) -> its ids as bytes, by the tokenizers library."""
 
     def __init__(self, data: bytes, width: int):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}  # a plain dict: sets subtract it by look-ups
         self.tokenizer, self.kind = Tokenizer.from_str(data.decode()), f"<u{width}"
+        spec = json.loads(data)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.plain = None
+        if suffix:
+            # Words of letters that the normaliser leaves alone need no more than the model itself; the
+            # ids that end a word tell them apart.
+            spec |= {
+                "normalizer": None,
+                "pre_tokenizer": {
+                    "type": "Sequence",
+                    "pretokenizers": [
+                        {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False},
+                        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+                    ],
+                },
+            }
+            self.plain = Tokenizer.from_str(json.dumps(spec))
+            vocabulary = spec["model"]["vocab"]
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
         self.cut_id, self.cut = special[-1] if special else (None, None)
 
-    def learn(self, words: set) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(words)
+    def learn_letters(self, new: list[bytes]) -> list[bytes]:
+        """Learns those of the words that are letters only and normal already; what is left."""
+        if self.plain is None:
+            return new
+        letters, rest = [], []
+        for w in new:
+            t = w.decode()
+            (letters if t.isalpha() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t)) else rest).append(w)
+        lots = [letters[at : at + 1024] for at in range(0, len(letters), 1024)]
+        found = self.plain.encode_batch_fast([b" ".join(lot).decode() for lot in lots], add_special_tokens=False)
+        for lot, e in zip(lots, found, strict=True):
+            ids = np.asarray(e.ids, self.kind)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize
+            if len(ends) != len(lot):
+                rest += lot
+                continue
+            flat, ends = ids.tobytes(), ends.tolist()
+            self.known.update(zip(lot, map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        return rest
+
+    def learn(self, new: list[bytes]) -> None:
+        new = self.learn_letters(new)
         cut = self.cut and self.cut.encode()
         alone = new if cut is None else [w for w in new if b"<" in w]
         joined = [] if cut is None else [w for w in new if b"<" not in w]
         for word, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
-            self[word] = np.asarray(e.ids, self.kind).tobytes()
+            self.known[word] = np.asarray(e.ids, self.kind).tobytes()
         # Many short calls cost more than their merging: words go in lots with a special token between, which always stands alone.
         lots = [joined[at : at + 512] for at in range(0, len(joined), 512)]
         for lot, e in zip(lots, self.tokenizer.encode_batch_fast([cut.join(lot).decode() for lot in lots], add_special_tokens=False), strict=True):
@@ -169,7 +209,7 @@ class WordIds(dict):
                 raise ValueError("the tokenizer did not keep words apart")
             at, flat, size = 0, ids.tobytes(), ids.itemsize
             for word, end in zip(lot, ends, strict=True):
-                self[word] = flat[at * size : end * size]
+                self.known[word] = flat[at * size : end * size]
                 at = end + 1
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -180,22 +220,30 @@ class WordIds(dict):
         a difference, and ending signs are asked for apart after a letter or digit.
         """
         split = [(t if b"<" in t or b"\xcc" in t else t.lower()).split() for t in texts]
-        ended = {}
-        asked = set()
-        for w in set().union(*split) if split else ():
-            if w in self:
-                asked.add(w)
-                continue
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        known, flat = self.known, list(itertools.chain.from_iterable(split))
+        parts = list(map(known.get, flat))
+        if None in parts:
+            unknown = [i for i, x in enumerate(parts) if x is None]
+            self.learn_words({flat[i] for i in unknown})
+            for i in unknown:
+                parts[i] = known[flat[i]]
+        ends = list(itertools.accumulate(map(len, split)))
+        return [b"".join(parts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn_words(self, new: set[bytes]) -> None:
+        ended, asked = {}, set()
+        for w in new:
             core = w.rstrip(ENDINGS)
             if core and len(core) < len(w) and b"'" not in core and ((last := core.decode()[-1]).isalpha() or last in "0123456789"):
                 ended[w] = core, w[len(core) :]
                 asked.update(ended[w])
             else:
                 asked.add(w)
-        self.learn(asked)
-        self.update((w, self[core] + self[tail]) for w, (core, tail) in ended.items())
-        get = self.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.learn(list(asked.difference(self.known)))
+        known = self.known
+        known.update((w, known[core] + known[tail]) for w, (core, tail) in ended.items())
 
 
 @functools.lru_cache(maxsize=2)
@@ -205,8 +253,6 @@ def _word_ids(data: bytes, width: int) -> WordIds:
 
 def _separable(data: bytes) -> None:
     """Only tokenizers that drop white space and split there may be encoded word by word."""
-    import json
-
     spec = json.loads(data)
     split = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"] and spec["pre_tokenizer"]["type"] == "Sequence" else spec["pre_tokenizer"] or {}
     special = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])]
@@ -235,8 +281,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, bl
             return batch_of(part=pa.array([part], pa.int32()), block=pa.array([block], pa.int32()), first=[before], n_ids=[size], image=pa.array([pack_shard(names, lengths, b"".join(held), 2)], pa.binary()))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                piece = batch.slice(at, 128)
                 texts = [x or b"" for x in piece.column(1).to_pylist()]
                 for name, ids in zip(piece.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     n = len(ids) // 2 + 1
