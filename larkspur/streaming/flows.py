@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MIN_MESSAGE, MAX_MESSAGE = 4, 4 << 20
 MESSAGE = "message binary, queued_at timestamp"
@@ -41,31 +41,29 @@ def statement_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("sql").agg(F.count("*").alias("n"))
 
 
-class LastValue(StatefulProcessor):
-    """Keeps a key's newest value for `ttl_ms`; puts out each value with how many a key has had since it last expired."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "value string, n long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        n = self.state.get()[1] if self.state.exists() else 0
+def _last_value(ttl_ms: int):
+    def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n = state.get[1] if state.exists else 0
         value = None
         for part in rows:
             n += len(part)
             value = part["value"].iloc[-1]
-        self.state.update((value, n))
+        state.update((value, n))
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"key": [key[0]], "value": [value], "n": [n]})
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def ttl_cache(stream: DataFrame, ttl_ms: int) -> DataFrame:
-    """Stateful cache of a stream (key string, value string) with a processing-time life."""
-    return stream.groupBy("key").transformWithStateInPandas(LastValue(ttl_ms), "key string, value string, n long", "Update", "processingTime")
+    """Stateful cache of a stream (key string, value string): a key's newest value and how many it has had, forgotten `ttl_ms` of processing time after the last.
+
+    Expiry needs batches without data, so such a stream runs until it is stopped: give it a processing-time trigger.
+    """
+    return stream.groupBy("key").applyInPandasWithState(_last_value(ttl_ms), "key string, value string, n long", "value string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def live(df: DataFrame, now_nanos: int) -> DataFrame:

@@ -319,3 +319,16 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["o_orderkey", "o_totalprice", "o_orderstatus", "c_name"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_values_that_expire(spark, tmp_path):
+    """A stream's newest value by key, with counts kept over batches while they live."""
+    folder, schema = str(tmp_path / "in"), "key string, value string"
+    got = []
+    for part in ([("a", "1"), ("b", "2")], [("a", "3")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        out = flows.ttl_cache(spark.readStream.schema(schema).parquet(folder), 3_600_000)
+        q = out.writeStream.outputMode("update").foreachBatch(lambda df, n: got.append(sorted(map(tuple, df.collect())))).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+        assert q.awaitTermination(120)
+    assert [g for g in got if g] == [[("a", "1", 1), ("b", "2", 1)], [("a", "3", 2)]]
+    assert flows.live(spark.createDataFrame([(1, 5), (2, 6)], "k long, exp long"), 5).count() == 1
