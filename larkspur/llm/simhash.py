@@ -242,15 +242,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, chunk: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, key, fp, class (a fingerprint that names the component), component_id (the smallest doc_id reachable by links, itself included)."""
     own = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     found = components(links(distinct.select("fp"), distinct.count(), radius, chunk))
     named = found.join(distinct.withColumnRenamed("fp", "node"), "node").select("root", "first")
     named = named.union(found.select("root").distinct().join(distinct.withColumnRenamed("fp", "root"), "root").select("root", "first"))
     best = named.groupBy("root").agg(F.min("first").alias("best"))
     found = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     named = found.join(best, "root").select(F.col("node").alias("fp"), "root", "best")
-    names = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("class"), F.coalesce("best", "first").alias("component_id"))
-    return own.join(names, "fp").select("doc_id", "key", "fp", "class", "component_id")
+    names = distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("class"), F.coalesce("best", "first").alias("component_id"))
+    # A fingerprint with more than a two-thousandth of the rows is hot; there are fewer than two thousand, which are broadcast.
+    names = materialize(names, "names")
+    limit = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n / 2000
+    hot, rest = (names.where(c).drop("n") for c in (F.col("n") > max(limit, 100), F.col("n") <= max(limit, 100)))
+    cold = own.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest, "fp")
+    return cold.unionByName(own.join(F.broadcast(hot), "fp")).select("doc_id", "key", "fp", "class", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4, chunk: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
