@@ -6,11 +6,14 @@ from the grams that start within the next `min_words` - `gram_words` words the o
 hash is selected, for every line. Two equal runs of `min_words` words or more select the same gram
 inside, whatever surrounds them, so a repeated run can't be missed for lack of a fingerprint.
 
-Selected grams are joined with the first place that has them (by doc_id, then position). Each
+Selected grams that occur more than once are the candidates. Around them, the lines that start within
+`min_words` words of a line, and those that end within `min_words` words before its end, are hashed
+as a sequence and joined with the first place that has the same sequence (by doc_id, then position).
+Every line of a repeated run is in one of them, so each is compared with an earlier place that shares
+`min_words` words around it; hot passages give one row a document, never pairs of documents. Each
 (document, earlier document, shift) so found is compared line by line in both directions, and every
-maximal equal run of `min_words` words or more is deleted from the later place. A line is compared
-with the first holder of each of its grams, not with all holders; so a passage stays once, at its
-first place, and hot passages give one row a document, never pairs of documents.
+maximal equal run of `min_words` words or more is deleted from the later place. What is deleted is
+exactly what lies in such a run that stands at an earlier place as well.
 
 Defined results: a null text stays null and an empty one empty, neither has lines; blank lines are
 kept unless they stand inside a removed run or no other line is left (then the text is empty); a repeated
@@ -60,12 +63,31 @@ def selected(rows: DataFrame, min_words: int, gram_words: int) -> DataFrame:
     return grams.select("doc_id", "key", low.alias("low")).where("low is not null").select("doc_id", "key", "low.pos", "low.gram").distinct()
 
 
+def sequences(rows: DataFrame, marks: DataFrame, min_words: int) -> DataFrame:
+    """Around selected grams that occur more than once: doc_id, key, pos (of the first line), seq (hash of `min_words` words of whole lines or a little more)."""
+    again = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    hot = marks.join(again, "gram", "left_semi").select("key", "pos").distinct().withColumn("hot", F.lit(1))
+    near = rows.join(hot.select("key").distinct(), "key", "left_semi").join(hot, ["key", "pos"], "left").withColumn("end", F.col("start") + F.col("words"))
+    ahead = W.partitionBy("key").orderBy("start").rangeBetween(0, min_words - 1)
+    behind = W.partitionBy("key").orderBy("end").rangeBetween(1 - min_words, 0)
+
+    def seq(frame, first):
+        lines_ = F.collect_list("h").over(frame)
+        wanted = F.max("hot").over(frame).isNotNull() & (F.sum("words").over(frame) >= min_words)
+        return F.when(wanted, F.struct(F.xxhash64(lines_).alias("seq"), first(F.size(lines_)).alias("pos")))
+
+    both = near.select("doc_id", "key", seq(ahead, lambda n: F.col("pos")).alias("a"), seq(behind, lambda n: F.col("pos") - n + 1).alias("b"))
+    found = both.select("doc_id", "key", F.explode(F.array("a", "b")).alias("s")).where("s is not null")
+    return found.select("doc_id", "key", "s.pos", "s.seq").distinct()
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 50, gram_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document that repeats something: key, runs (array of from, to: places among its non-blank lines)."""
     rows = materialize(lines(docs, id_col, text_col), "lines")
     marks = materialize(selected(rows, min_words, gram_words), "marks")
-    first = marks.groupBy("gram").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = marks.join(first, "gram").where("key <> first.key or pos <> first.pos")
+    places = materialize(sequences(rows, marks, min_words), "sequences")
+    first = places.groupBy("seq").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = places.join(first, "seq").where("key <> first.key or pos <> first.pos")
     pairs = pairs.select("key", F.col("first.key").alias("other"), (F.col("first.pos") - F.col("pos")).alias("shift")).distinct()
     cells = F.sort_array(F.collect_list(F.struct("pos", "h", "start", "words")))
     flat = rows.groupBy("key").agg(cells.alias("c"))
