@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +65,15 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns of these names in any case; new columns of those names take their place."""
     taken = {x.lower() for x in names}
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
+
+
+def join_sized(rows: DataFrame, sized: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """Inner join on key, where sized has each key once and column `n` how many of the `total` rows have it.
+
+    A key with more than a two-thousandth of the rows is hot: there are fewer than two thousand of
+    these, which are broadcast, so that their rows stay where they are. The rest is an ordinary join.
+    """
+    limit = max(total / 2000, 100)
+    hot, rest = (sized.where(c).drop(n) for c in (F.col(n) > limit, F.col(n) <= limit))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, table, without
+from .common import join_sized, materialize, table, without
 
 BLANKS = " \t\r"
 
@@ -86,8 +86,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, gram_words: int = 25, id
     rows = materialize(lines(docs, id_col, text_col), "lines")
     marks = materialize(selected(rows, min_words, gram_words), "marks")
     places = materialize(sequences(rows, marks, min_words), "sequences")
-    first = places.groupBy("seq").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = places.join(first, "seq").where("key <> first.key or pos <> first.pos")
+    first = places.groupBy("seq").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    pairs = join_sized(places, materialize(first, "first"), "seq", places.count()).where("key <> first.key or pos <> first.pos")
     pairs = pairs.select("key", F.col("first.key").alias("other"), (F.col("first.pos") - F.col("pos")).alias("shift")).distinct()
     cells = F.sort_array(F.collect_list(F.struct("pos", "h", "start", "words")))
     flat = rows.groupBy("key").agg(cells.alias("c"))

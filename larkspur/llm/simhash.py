@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, table
+from .common import join_sized, map_batches, materialize, table
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -250,12 +250,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, chunk: i
     found = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     named = found.join(best, "root").select(F.col("node").alias("fp"), "root", "best")
     names = distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("class"), F.coalesce("best", "first").alias("component_id"))
-    # A fingerprint with more than a two-thousandth of the rows is hot; there are fewer than two thousand, which are broadcast.
     names = materialize(names, "names")
-    limit = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n / 2000
-    hot, rest = (names.where(c).drop("n") for c in (F.col("n") > max(limit, 100), F.col("n") <= max(limit, 100)))
-    cold = own.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest, "fp")
-    return cold.unionByName(own.join(F.broadcast(hot), "fp")).select("doc_id", "key", "fp", "class", "component_id")
+    return join_sized(own, names, "fp", own.count()).select("doc_id", "key", "fp", "class", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4, chunk: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
