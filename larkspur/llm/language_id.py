@@ -21,6 +21,7 @@ equal results; extra columns are kept, except that a column with the name of a n
 from __future__ import annotations
 
 import io
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -37,7 +38,7 @@ BEGIN, END = 1, 2
 FLOOR = 1.0 / 4096
 WORDS = re.compile(r"[^\W\d_]+")
 MAX_LANGUAGES = 1000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
@@ -203,19 +204,23 @@ class Identifier:
 
     def totals(self, texts: list[str]) -> np.ndarray:
         """Per text: log probability by language, then the number of signs."""
-        split = [t.lower().split() for t in texts]
-        new = list(set().union(*split).difference(self.at))
-        if len(self.at) + len(new) > CACHE_WORDS:
+        if len(self.at) > CACHE_WORDS:
             self.at.clear()
             self.rows = self.rows[:0]
-            new = list(set().union(*split))
-        if new:
-            self.learn(new)
+        split = [t.lower().split() for t in texts]
+        flat = list(itertools.chain.from_iterable(split))
+        ids = list(map(self.at.get, flat))
+        if None in ids:
+            unknown = [i for i, x in enumerate(ids) if x is None]
+            self.learn(list({flat[i] for i in unknown}))
+            for i in unknown:
+                ids[i] = self.at[flat[i]]
         out = np.zeros((len(texts), len(self.m.langs) + 1))
-        get = self.at.__getitem__
+        ids, end = np.array(ids, np.int64), 0
         for i, words in enumerate(split):
+            begin, end = end, end + len(words)
             if words:
-                out[i] = self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
+                out[i] = self.rows[ids[begin:end]].sum(axis=0, dtype=np.float64)
         return out
 
     def predict(self, texts: list[str]) -> tuple[list, list, list, list]:
