@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import spm
 from .common import batch_of, map_batches, table, texts_of
 
-CACHE_WORDS = 600_000
-CACHED_CHARS = 64
+CACHE_WORDS = 300_000
 CUT = "|cut|"
 
 
@@ -93,16 +92,11 @@ class Codec:
         found = [f if t else [] for f, t in zip(found, texts, strict=True)]
         return [(np.asarray(ids, "<u4").tobytes(), ok) for ids, ok in self.same(texts, found)]
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            self.bad.clear()
-            new = list(words)
+    def learn(self, new: list[str]) -> None:
         lots = [new[at : at + 512] for at in range(0, len(new), 512)]
         lots = [[w] for lot in lots for w in lot if CUT in w] + [x for lot in lots if (x := [w for w in lot if CUT not in w])]
         found = self.part.encode_batch_fast([CUT.join(map(spm.written, lot)) for lot in lots], add_special_tokens=False)
-        # sentencepiece puts a marker before each input; a word after a newline has none, so the marker is sent with it and taken off
+        # sentencepiece puts a marker before each input, which a word after a newline does not have: its first id is left out
         for lot, e in zip(lots, found, strict=True):
             wanted = self.other.encode(lot, num_threads=1)
             ids = np.asarray(e.ids, "<u4")
@@ -125,11 +119,26 @@ class Codec:
         return self.other.encode(word)[word[0] == "\n" :]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+            self.bad.clear()
         split = [spm.words(t) if self.plain else None for t in texts]
-        self.learn(set().union(*(s for s in split if s)))
-        get, bad = self.known.__getitem__, self.bad
+        flat = [w for s in split if s for w in s]
+        parts = list(map(self.known.get, flat))
+        if None in parts:
+            unknown = [i for i, x in enumerate(parts) if x is None]
+            self.learn(list({flat[i] for i in unknown}))
+            for i in unknown:
+                parts[i] = self.known[flat[i]]
         rest = iter(self.whole_texts([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [next(rest) if s is None else (b"".join(map(get, s)), not bad or bad.isdisjoint(s)) for s in split]
+        out, end = [], 0
+        for s in split:
+            if s is None:
+                out.append(next(rest))
+            else:
+                begin, end = end, end + len(s)
+                out.append((b"".join(parts[begin:end]), not self.bad or self.bad.isdisjoint(s)))
+        return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
