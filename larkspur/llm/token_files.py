@@ -142,6 +142,12 @@ class Shard:
         return [None] * self.nulls + [int(x) + self.base for x in self.names.all()]
 
 
+def _ends_plain(core: str) -> bool:
+    """Whether the normalised word ends in a letter or digit: U+0130 and U+0958 are letters that come to end in a mark."""
+    last = core[-1] if core[-1].isascii() else unicodedata.normalize("NFC", core).lower()[-1]
+    return last.isalpha() or last in "0123456789"
+
+
 class WordIds:
     """White-space-separated word (UTF-8) -> its ids as bytes, by the tokenizers library."""
 
@@ -216,10 +222,11 @@ class WordIds:
         """ASCII white space is dropped by this tokenizer and nothing merges or composes across it, so words are independent.
 
         It also lower-cases and splits before a run of other signs. So fewer different words are asked
-        for: A-Z is lowered first, unless a special token or a combining mark (lead byte CC) could make
-        a difference, and ending signs are asked for apart after a letter or digit.
+        for: A-Z is lowered first, unless a special token or a combining mark (lead byte CC, or U+0344,
+        which stands for two of them) could make a difference, and ending signs are asked for apart after
+        what the normaliser leaves as a letter or digit.
         """
-        split = [(t if b"<" in t or b"\xcc" in t else t.lower()).split() for t in texts]
+        split = [(t if b"<" in t or b"\xcc" in t or b"\xcd\x84" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known, flat = self.known, list(itertools.chain.from_iterable(split))
@@ -236,7 +243,7 @@ class WordIds:
         ended, asked = {}, set()
         for w in new:
             core = w.rstrip(ENDINGS)
-            if core and len(core) < len(w) and b"'" not in core and ((last := core.decode()[-1]).isalpha() or last in "0123456789"):
+            if core and len(core) < len(w) and b"'" not in core and _ends_plain(core.decode()):
                 ended[w] = core, w[len(core) :]
                 asked.update(ended[w])
             else:

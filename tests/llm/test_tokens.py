@@ -65,6 +65,15 @@ def test_words_are_independent(texts):
         token_files._separable(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
 
 
+def test_words_that_end_in_a_mark_once_normalised():
+    letters = ["İ", "\u0958", "\u09df", "\u0a5e", "\ufb2a", "\ufb4e"]
+    texts = [f"{a}{c}{sign}" for a in ("", "B", "7") for c in letters for sign in ".,!?;:#$%&*|"]
+    texts += ["İKİ, BİRİNCİ.", "\u0958!?", "é. 中, 한; \u1100\u1161!", "T\u0344x"]
+    whole = Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)
+    own = token_files.WordIds(open(WORDS, "rb").read(), 2).encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in own] == [e.ids for e in whole]
+
+
 @pytest.mark.parametrize("block", [1 << 21, 50])
 def test_shards(odd_docs, no_docs, block):
     tok = Tokenizer.from_file(WORDS)
