@@ -67,14 +67,17 @@ def segmenter(data: bytes) -> re.Pattern:
 
 
 def words(text: str) -> list[str] | None:
-    """Space-separated words of a text that has single spaces only, else None.
+    """Space-separated words of a text that has single spaces only and no marker of its own, else None.
 
     The normalised text is then the concatenation of `written(word)`: a word starting with a newline
     stands for itself, any other for the marker and itself. Splitting once at spaces is many times
     faster than matching segments; callers keep what a word yields and fall back to the segmenter.
+    A marker in the text joins that of a space beside it, across the words.
     """
     if not text:
         return []
+    if MARK in text:
+        return None
     parts = text.replace("\n", " \n").split(" ")
     return None if "" in parts or "\n" in parts[0] else parts
 

@@ -35,6 +35,16 @@ def test_counts_of_long_random_strings():
         assert token_counts.count_tokens(t, data) == len(own.encode(t)), repr(t)
 
 
+def test_markers_in_texts():
+    data, own, r = open(MODEL, "rb").read(), sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(7)
+    texts = ["▁ 12", "▁ 2024", "low ▁ 12 high", "# ▁ 中é", "a▁ b", "a ▁b", "▁", "▁ ▁\n▁ x", "x▁\ny"]
+    texts += [" ".join("".join(r.choice("▁▁12ae中\n") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 6))) for _ in range(300)]
+    want = own.encode(texts)
+    assert [token_counts.count_tokens(t, data) for t in texts] == [len(x) for x in want]
+    got = spm_codec.codec(data).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x, _ in got] == want and all(ok for _, ok in got)
+
+
 def test_count_table(odd_docs, no_docs):
     own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     got = token_counts.token_counts(odd_docs, MODEL, limit=100).collect()
