@@ -93,30 +93,30 @@ class Codec:
         return [(np.asarray(ids, "<u4").tobytes(), ok) for ids, ok in self.same(texts, found)]
 
     def learn(self, new: list[str]) -> None:
-        lots = [new[at : at + 512] for at in range(0, len(new), 512)]
-        lots = [[w] for lot in lots for w in lot if CUT in w] + [x for lot in lots if (x := [w for w in lot if CUT not in w])]
+        joined = [w for w in new if CUT not in w]
+        lots = [joined[at : at + 512] for at in range(0, len(joined), 512)]
         found = self.part.encode_batch_fast([CUT.join(map(spm.written, lot)) for lot in lots], add_special_tokens=False)
-        # sentencepiece puts a marker before each input, which a word after a newline does not have: its first id is left out
         for lot, e in zip(lots, found, strict=True):
             wanted = self.other.encode(lot, num_threads=1)
             ids = np.asarray(e.ids, "<u4")
-            if len(lot) == 1 and CUT in lot[0]:
-                self.known[lot[0]] = np.asarray(self._alone(lot[0]), "<u4").tobytes()
-                continue
             ends = np.append(np.flatnonzero(ids == self.cut_id), len(ids)).tolist()
             if len(ends) != len(lot):
                 raise ValueError("the tokenizer did not keep words apart")
             at, flat = 0, ids.tobytes()
             for word, end, want in zip(lot, ends, wanted, strict=True):
-                got = flat[4 * at : 4 * end]
-                right = np.asarray(want[word[0] == "\n" :], "<u4").tobytes()
-                if got != right:
-                    self.bad.add(word)
-                self.known[word] = right
+                self.keep(word, flat[4 * at : 4 * end], want)
                 at = end + 1
+        for word in new:
+            if CUT in word:  # the whole pipeline has no such token, and puts a marker first, as sentencepiece does
+                got = self.whole.encode(word, add_special_tokens=False).ids[word[0] == "\n" :]
+                self.keep(word, np.asarray(got, "<u4").tobytes(), self.other.encode(word))
 
-    def _alone(self, word: str) -> list[int]:
-        return self.other.encode(word)[word[0] == "\n" :]
+    def keep(self, word: str, got: bytes, want: list[int]) -> None:
+        # sentencepiece puts a marker before each input, which a word after a newline does not have: its first id is left out
+        right = np.asarray(want[word[0] == "\n" :], "<u4").tobytes()
+        if got != right:
+            self.bad.add(word)
+        self.known[word] = right
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         if len(self.known) > CACHE_WORDS:

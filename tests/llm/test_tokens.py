@@ -126,6 +126,24 @@ def test_codec_matches_library(texts):
     assert c.decode([np.frombuffer(x, "<u4") for x, _ in c.encode(plain)]) == plain
 
 
+def test_words_with_the_cut_token_are_compared():
+    data, own = open(MODEL, "rb").read(), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    cut = spm_codec.CUT
+    texts = [f"a {cut} b", cut, f"x\n{cut}y z", cut + cut, f"\n{cut}"]
+    got = spm_codec.Codec(data, 1).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x, _ in got] == own.encode(texts) and all(ok for _, ok in got)
+
+    class Other:
+        """Differs from the tokenizers library in words with the cut token only."""
+
+        def encode(self, x, num_threads=1):
+            return [self.encode(w) for w in x] if isinstance(x, list) else own.encode(x) + [0] * (cut in x)
+
+    c = spm_codec.Codec(data, 1)
+    c.other = Other()
+    assert [ok for _, ok in c.encode([f"a {cut} b", "a b"])] == [False, True]
+
+
 def test_unigram_model(tmp_path):
     path = unigram_model(tmp_path)
     own, c = sentencepiece.SentencePieceProcessor(model_file=path), spm_codec.Codec(open(path, "rb").read(), 1)
