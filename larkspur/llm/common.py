@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,36 +18,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a folder of our own only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset, a folder of this machine in local mode; on a cluster it is an error, as executors
+    would each write to their own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
-    The files outlive any executor, so a later stage never has to recompute what is above.
+    The files outlive any executor, so a later stage never has to recompute what is above. They go when
+    the driver ends, or before with `forget`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables of `materialize` that no frame in use reads any more."""
+    for df in tables:
+        fs, p = _path(df.sparkSession, df.scratch)
+        fs.delete(p, True)
+
+
+#: Text and binary bytes of one slice; a row of more is a slice of its own.
+SLICE_BYTES = 4 << 20
 
 
-def map_batches(df: DataFrame, columns: list, factory: Callable, schema: str, rows: int = 256) -> DataFrame:
-    """Run factory()(record batch) over slices of at most `rows` rows.
+def slices(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of at most `rows` rows and, beyond one row, `size` bytes of text and binary columns."""
+    weight = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_binary(column.type) or pa.types.is_string(column.type) or pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type):
+            weight += pc.fill_null(pc.binary_length(column).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(weight), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        end = min(max(end, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
 
-    The slices bound a worker's memory however long texts are; the factory runs once a task.
+
+def map_batches(df: DataFrame, columns: list, factory: Callable, schema: str, rows: int = 256, size: int = SLICE_BYTES) -> DataFrame:
+    """Run factory()(record batch) over slices of at most `rows` rows and `size` bytes of text.
+
+    A slice and one text bound a worker's memory; the factory runs once a task.
     """
 
     def run(batches):
         fn = factory()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(at, rows))
+            for part in slices(batch, rows, size):
+                out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
 
@@ -77,3 +120,17 @@ def join_sized(rows: DataFrame, sized: DataFrame, key: str, total: int, n: str =
     hot, rest = (sized.where(c).drop(n) for c in (F.col(n) > limit, F.col(n) <= limit))
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def join_salted(rows: DataFrame, wide: DataFrame, key: str, by: str, counts: DataFrame, total: int, n: str = "n") -> DataFrame:
+    """Inner join on key, where wide has each key once with rows too large to broadcast; counts has `n`, the key's rows of the `total`.
+
+    A hot key's rows are dealt to as many salts as it has two-thousandths of the rows, and its wide row is
+    copied to each: at most two thousand copies beside the table itself. `by` is the column that deals.
+    """
+    limit = max(total / 2000, 100)
+    salts = F.broadcast(counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("__salts")))
+    own = F.coalesce("__salts", F.lit(1))
+    left = rows.join(salts, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), own).cast("int")).drop("__salts")
+    right = wide.join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), own - 1))).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
