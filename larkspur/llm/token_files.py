@@ -4,7 +4,9 @@ A shard image is one byte string: a header, the ids of its documents as little-e
 integers of 2 or 4 bytes in one array, and two Elias-Fano sequences: the document boundaries and
 the document ids. An Elias-Fano sequence of n ascending numbers below u keeps l = floor(log2(u / n))
 low bits of each in a packed array and the high parts in unary in a bit vector, about 2 + l bits a
-number; select(i) finds the i-th set bit from a sample of every 64th, so no 64-bit offset table exists.
+number; select(i) finds the i-th set bit from the stored place of every 64th, so no 64-bit offset table exists
+and a reader gets one boundary without unpacking the others. Ids take 2 bytes where the vocabulary and the
+end id allow it, else 4.
 
 Images are written as binary rows of a Parquet table in the shared folder, because Spark's writers
 reach any file system and a Python worker does not. Documents are range-partitioned by id and
@@ -30,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, map_batches, materialize, table
+from .common import batch_of, map_batches, materialize, slices, table
 
-MAGIC = b"LKEF1\0\0\0"
+MAGIC = b"LKEF2\0\0\0"
 SAMPLE = 64
 CACHE_WORDS = 800_000
 ENDINGS = b".,!?;:#$%&*|"
@@ -41,17 +43,17 @@ ENDINGS = b".,!?;:#$%&*|"
 class EliasFano:
     """An ascending sequence of non-negative integers below 2**63."""
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray):
         self.n, self.l = n, low_bits
         self.low, self.high = low, high
-        self.samples = None
+        self.samples = samples  # where every SAMPLE-th set bit of `high` is
 
     @classmethod
     def encode(cls, values) -> EliasFano:
         v = np.asarray(values, np.uint64)
         n = len(v)
         if not n:
-            return cls(0, 0, b"", b"")
+            return cls(0, 0, b"", b"", np.zeros(0, "<u4"))
         u = int(v[-1]) + 1
         l = max(0, (u // n).bit_length() - 1)
         shifts = np.arange(l - 1, -1, -1, dtype=np.uint64)
@@ -59,51 +61,44 @@ class EliasFano:
         at = (v >> np.uint64(l)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(at[-1]) + 1, np.uint8)
         bits[at] = 1
-        return cls(n, l, low, np.packbits(bits).tobytes())
+        return cls(n, l, low, np.packbits(bits).tobytes(), at[::SAMPLE].astype("<u4"))
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQQB7x", self.n, len(self.low), len(self.high), self.l) + self.low + self.high
+        return struct.pack("<QQQB7x", self.n, len(self.low), len(self.high), self.l) + self.samples.tobytes() + self.low + self.high
 
     @classmethod
     def from_bytes(cls, data: memoryview) -> tuple[EliasFano, int]:
         n, low, high, l = struct.unpack_from("<QQQB", data)
-        at = 32
-        return cls(n, l, bytes(data[at : at + low]), bytes(data[at + low : at + low + high])), at + low + high
-
-    def all(self) -> np.ndarray:
-        if not self.n:
-            return np.zeros(0, np.uint64)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8)))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.l)
-        if self.l:
-            low = np.unpackbits(np.frombuffer(self.low, np.uint8), count=self.n * self.l).reshape(self.n, self.l)
-            for j in range(self.l):
-                out |= low[:, j].astype(np.uint64) << np.uint64(self.l - 1 - j)
-        return out
+        at = 32 + 4 * -(-n // SAMPLE)
+        samples = np.frombuffer(data[32:at], "<u4")
+        return cls(n, l, bytes(data[at : at + low]), bytes(data[at + low : at + low + high]), samples), at + low + high
 
     def select(self, i: int) -> int:
-        """The i-th number, from the sampled positions of set bits and one short scan."""
+        """The i-th number, from the stored place of a set bit at most SAMPLE - 1 before and a scan from there."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        high = np.frombuffer(self.high, np.uint8)
-        if self.samples is None:
-            counts = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-            byte = np.searchsorted(counts, np.arange(0, self.n, SAMPLE), side="right")
-            self.samples = byte.astype(np.uint32), (counts[byte] - np.bitwise_count(high[byte])).astype(np.uint32)
-        start, seen = int(self.samples[0][i // SAMPLE]), int(self.samples[1][i // SAMPLE])
-        while True:
-            part = np.unpackbits(high[start : start + 64])
-            ones = np.flatnonzero(part)
-            if seen + len(ones) > i:
-                at = start * 8 + int(ones[i - seen])
-                break
-            seen += len(ones)
-            start += 64
-        value = (at - i) << self.l
-        for j in range(i * self.l, (i + 1) * self.l):
-            value |= ((self.low[j >> 3] >> (7 - (j & 7))) & 1) << ((i + 1) * self.l - 1 - j)
+        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
+        if left:
+            byte, skip = at >> 3, (at & 7) + 1  # the sampled bit is behind us
+            while True:
+                part = int.from_bytes(self.high[byte : byte + 8].ljust(8, b"\0"), "big") & ((1 << (64 - skip)) - 1)
+                ones = part.bit_count()
+                if ones >= left:
+                    break
+                left, byte, skip = left - ones, byte + 8, 0
+            for _ in range(left - 1):
+                part ^= 1 << (part.bit_length() - 1)
+            at = byte * 8 + 64 - part.bit_length()
+        value, a = (at - i) << self.l, i * self.l
+        if self.l:
+            b = a + self.l
+            bits = int.from_bytes(self.low[a >> 3 : (b + 7) >> 3], "big")
+            value |= bits >> (-b & 7) & ((1 << self.l) - 1)
         return value
 
+    def __iter__(self):
+        return map(self.select, range(self.n))
+
 
 def pack_shard(doc_ids: list, lengths: list[int], ids: bytes, width: int) -> bytes:
     """doc_ids ascending, None first; ids: the documents' ids in one array of `width` bytes each."""
@@ -135,11 +130,16 @@ class Shard:
     def __len__(self) -> int:
         return self.ends.n
 
+    def bounds(self, i: int) -> tuple[int, int]:
+        """Where the ids of document i begin and end."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        begin, end = self.bounds(i)
+        return self.ids[begin:end]
 
     def doc_ids(self) -> list:
-        return [None] * self.nulls + [int(x) + self.base for x in self.names.all()]
+        return [None] * self.nulls + [x + self.base for x in self.names]
 
 
 def _ends_plain(core: str) -> bool:
@@ -267,6 +267,15 @@ def _separable(data: bytes) -> None:
         raise ValueError("this tokenizer does not drop white space; it can't be encoded word by word")
 
 
+def _width(data: bytes, end_id: int) -> int:
+    """Bytes of an id."""
+    spec = json.loads(data)
+    most = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    if not 0 <= end_id or most >= 1 << 32:
+        raise ValueError("ids must lie between 0 and 2**32 - 1")
+    return 2 if most < 1 << 16 else 4
+
+
 def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, block_ids: int = 1 << 21, parts: int | None = None) -> DataFrame:
     """Write shard images of all documents and return them read back: part, block, first (ids of the part before the block), n_ids, image."""
     with open(tokenizer_path, "rb") as f:
@@ -275,24 +284,24 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, bl
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(data)  # one vocabulary file
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = _width(data, end_id)
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = _word_ids(shared.value, 2)
+        encoder = _word_ids(shared.value, width)
         part = TaskContext.get().partitionId()
         end = np.asarray([end_id], encoder.kind).tobytes()
         names, lengths, held, size, before, block = [], [], [], 0, 0, 0
 
         def image():
-            return batch_of(part=pa.array([part], pa.int32()), block=pa.array([block], pa.int32()), first=[before], n_ids=[size], image=pa.array([pack_shard(names, lengths, b"".join(held), 2)], pa.binary()))
+            return batch_of(part=pa.array([part], pa.int32()), block=pa.array([block], pa.int32()), first=[before], n_ids=[size], image=pa.array([pack_shard(names, lengths, b"".join(held), width)], pa.binary()))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                piece = batch.slice(at, 128)
+            for piece in slices(batch, 128):
                 texts = [x or b"" for x in piece.column(1).to_pylist()]
                 for name, ids in zip(piece.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    n = len(ids) // 2 + 1
+                    n = len(ids) // width + 1
                     if names and size + n > block_ids:
                         yield image()
                         before, block = before + size, block + 1
@@ -310,7 +319,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, bl
 
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
-    """From the images alone, per document: doc_id, start (over all images), n_tokens, ids_crc32."""
+    """From the images alone, per document: doc_id, start (over all images), n_tokens, ids_crc32. Boundaries are read by select."""
     spark = shards.sparkSession
     # One small row for each range partition comes to the driver, whose number is set, not one for each document.
     sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
@@ -325,13 +334,13 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
             names, firsts, counts, sums = [], [], [], []
             for part, first, image in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = Shard(image)
-                ends = shard.ends.all().astype(np.int64)
-                begins = np.concatenate(([0], ends[:-1]))
-                wide = memoryview(shard.ids.astype("<u4").tobytes())
+                wide, begin, base = memoryview(shard.ids.astype("<u4").tobytes()), 0, shared.value[part] + first
                 names += shard.doc_ids()
-                firsts += (begins + (shared.value[part] + first)).tolist()
-                counts += (ends - begins).tolist()
-                sums += [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                for end in shard.ends:  # a document's end is the next one's beginning: one select each
+                    firsts.append(base + begin)
+                    counts.append(end - begin)
+                    sums.append(zlib.crc32(wide[4 * begin : 4 * end]))
+                    begin = end
             return batch_of(doc_id=pa.array(names, pa.int64()), start=firsts, n_tokens=counts, ids_crc32=sums)
 
         return run
