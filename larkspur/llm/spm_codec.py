@@ -4,12 +4,16 @@ The model's protobuf is parsed and rebuilt as a tokenizers pipeline: normaliser
 marker for space), metaspace pre-tokenizer cut where no piece can cross, unigram scores or byte-pair
 merges, byte fallback, and the matching decoder. Batches are encoded by the library's threads.
 
-Parity: every different word a task meets is encoded by sentencepiece as well; where the two differ
-(equal scores that the rebuilt ranks order otherwise), sentencepiece's ids are taken and the row's
-parity flag is false. Texts whose words can't be told apart by single spaces are compared as a whole.
+The ids, and the texts decoded from them, are the rebuilt pipeline's. Texts are cut at single spaces, where no piece
+crosses, and every different word a task meets is encoded once. Other texts are encoded whole. The
+rebuilt decoder is applied to every piece once; a text is its pieces' bytes joined.
+
+Parity: sentencepiece encodes every whole text by itself, without any of these cuts; the row's parity
+flag says whether its ids are the same. It never changes the ids.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded each; extra columns are
-ignored; an empty table gives an empty table; a null doc_id stays null.
+ignored; an empty table gives an empty table; a null doc_id stays null; a literal U+2581 in a text is the
+marker itself, as in the library, and comes back as a space (round_trip is false).
 """
 
 from __future__ import annotations
@@ -61,13 +65,13 @@ def rebuild(data: bytes, normalise: bool = True):
     else:
         out.add_special_tokens([AddedToken(CUT, normalized=False, special=True)])
     out.pre_tokenizer = pre_tokenizers.Split(Regex(spm.segmenter(data).pattern), "removed", invert=True)
-    tail = [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []
+    tail = [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix and normalise else []
     out.decoder = decoders.Sequence([decoders.Replace(spm.MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
     return out
 
 
 class Codec:
-    """Word -> (ids as bytes, parity), kept up to a number of words; whole texts where words don't apply."""
+    """Word -> ids as bytes, kept up to a number of words; whole texts where words don't apply. Id -> bytes of text."""
 
     def __init__(self, data: bytes, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -80,48 +84,41 @@ class Codec:
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.threads = threads
         self.known: dict[str, bytes] = {}
-        self.bad: set[str] = set()
+        # the decoder's steps but the last, by the library, once for each piece; a byte piece is its byte
+        texts = self.part.decode_batch([[i] for i in range(len(self.model.pieces))], skip_special_tokens=False)
+        self.said = [bytes([int(p[3:5], 16)]) if kind == spm.BYTE else t.encode() for t, (p, _, kind) in zip(texts, self.model.pieces, strict=True)]
 
-    def same(self, texts: list[str], found: list[list[int]]) -> list[tuple[list[int], bool]]:
+    def parity(self, texts: list[str], found: list[bytes]) -> list[bool]:
+        """Whether sentencepiece gives the same ids for each whole text."""
         wanted = self.other.encode(texts, num_threads=self.threads)
-        return [(b, a == b) for a, b in zip(found, wanted, strict=True)]
+        return [np.asarray(b, "<u4").tobytes() == a for a, b in zip(found, wanted, strict=True)]
 
-    def whole_texts(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Normaliser included. The library's own added tokens and whole pipeline are used as they are."""
-        found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        found = [f if t else [] for f, t in zip(found, texts, strict=True)]
-        return [(np.asarray(ids, "<u4").tobytes(), ok) for ids, ok in self.same(texts, found)]
+    def whole_texts(self, texts: list[str]) -> list[bytes]:
+        """By the whole pipeline, normaliser included."""
+        found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(e.ids if t else [], "<u4").tobytes() for e, t in zip(found, texts, strict=True)]
 
     def learn(self, new: list[str]) -> None:
         joined = [w for w in new if CUT not in w]
         lots = [joined[at : at + 512] for at in range(0, len(joined), 512)]
         found = self.part.encode_batch_fast([CUT.join(map(spm.written, lot)) for lot in lots], add_special_tokens=False)
         for lot, e in zip(lots, found, strict=True):
-            wanted = self.other.encode(lot, num_threads=1)
             ids = np.asarray(e.ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.cut_id), len(ids)).tolist()
             if len(ends) != len(lot):
                 raise ValueError("the tokenizer did not keep words apart")
             at, flat = 0, ids.tobytes()
-            for word, end, want in zip(lot, ends, wanted, strict=True):
-                self.keep(word, flat[4 * at : 4 * end], want)
+            for word, end in zip(lot, ends, strict=True):
+                self.known[word] = flat[4 * at : 4 * end]
                 at = end + 1
         for word in new:
-            if CUT in word:  # the whole pipeline has no such token, and puts a marker first, as sentencepiece does
+            if CUT in word:  # the whole pipeline has no such token; it puts a marker first, which a word after a newline does not have
                 got = self.whole.encode(word, add_special_tokens=False).ids[word[0] == "\n" :]
-                self.keep(word, np.asarray(got, "<u4").tobytes(), self.other.encode(word))
-
-    def keep(self, word: str, got: bytes, want: list[int]) -> None:
-        # sentencepiece puts a marker before each input, which a word after a newline does not have: its first id is left out
-        right = np.asarray(want[word[0] == "\n" :], "<u4").tobytes()
-        if got != right:
-            self.bad.add(word)
-        self.known[word] = right
+                self.known[word] = np.asarray(got, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-            self.bad.clear()
         split = [spm.words(t) if self.plain else None for t in texts]
         flat = [w for s in split if s for w in s]
         parts = list(map(self.known.get, flat))
@@ -137,11 +134,22 @@ class Codec:
                 out.append(next(rest))
             else:
                 begin, end = end, end + len(s)
-                out.append((b"".join(parts[begin:end]), not self.bad or self.bad.isdisjoint(s)))
+                out.append(b"".join(parts[begin:end]))
         return out
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """The pieces' bytes joined, without the leading marker's space. Where bytes are no text, the whole decoder says what stands for them."""
+        out = []
+        for x in ids:
+            own = np.frombuffer(x, "<u4").tolist()
+            try:
+                t = b"".join(map(self.said.__getitem__, own)).decode()
+            except UnicodeDecodeError:
+                t = self.whole.decode(own, skip_special_tokens=False)
+            else:
+                t = t[1:] if self.model.add_dummy_prefix and t[:1] == " " else t
+            out.append(t)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -162,8 +170,9 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, id_col:
         c = codec(shared.value, threads)
 
         def run(batch):
-            found = c.encode(texts_of(batch))
-            return batch_of(doc_id=batch.column(0), ids=pa.array([x for x, _ in found], pa.binary()), parity=[ok for _, ok in found])
+            texts = texts_of(batch)
+            found = c.encode(texts)
+            return batch_of(doc_id=batch.column(0), ids=pa.array(found, pa.binary()), parity=c.parity(texts, found))
 
         return run
 
@@ -178,7 +187,7 @@ def decode_documents(encoded: DataFrame, model_path: str, threads: int = 2) -> D
         c = codec(shared.value, threads)
 
         def run(batch):
-            return batch_of(doc_id=batch.column(0), text=c.decode([np.frombuffer(x or b"", "<u4") for x in batch.column(1).to_pylist()]))
+            return batch_of(doc_id=batch.column(0), text=c.decode([x or b"" for x in batch.column(1).to_pylist()]))
 
         return run
 
@@ -198,12 +207,12 @@ def codec_digest(docs: DataFrame, model_path: str, threads: int = 2) -> DataFram
         def run(batch):
             texts = texts_of(batch)
             found = c.encode(texts)
-            back = c.decode([np.frombuffer(x, "<u4") for x, _ in found])
+            back = c.decode(found)
             return batch_of(
                 doc_id=batch.column(0),
-                n_tokens=[len(x) // 4 for x, _ in found],
-                ids_crc32=[zlib.crc32(x) for x, _ in found],
-                parity=[ok for _, ok in found],
+                n_tokens=[len(x) // 4 for x in found],
+                ids_crc32=[zlib.crc32(x) for x in found],
+                parity=c.parity(texts, found),
                 round_trip=[a == b for a, b in zip(texts, back, strict=True)],
                 decoded_crc32=[zlib.crc32(x.encode()) for x in back],
             )

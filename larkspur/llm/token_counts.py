@@ -5,7 +5,8 @@ emitted. The lowest-rank (highest-score) adjacent pair is popped from a heap aga
 leftmost of equals first, and the two cells of a doubly linked list become one.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; extra
-columns are ignored; an empty table gives an empty table; a null doc_id stays null.
+columns are ignored; an empty table gives an empty table; a null doc_id stays null; a text that holds a
+literal U+2581 is counted whole, as markers join across spaces. A text is counted whatever its length.
 """
 
 from __future__ import annotations
