@@ -13,12 +13,17 @@ point for every frame.
 Supported are mono streams of 8 or 16 bits with a fixed block size; others raise ValueError, as do
 damaged ones. Bytes are stored as samples minus 128.
 
-Defined results: a null or empty text is one frame of padding; repeated rows give equal results;
+The media column is stored as a Parquet table and read back; its PCM blocks are a second table, and the
+digest is computed from those blocks. `read_range` reads samples by offset.
+
+Defined results: a null or empty text is one frame of padding; a very long text is one stream, coded
+and decoded 2,048 frames at a time, and held whole by one worker; repeated rows give equal results;
 extra columns are ignored; an empty table gives an empty table; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -26,8 +31,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, table
+from .common import forget, map_batches, materialize, table
 
 BLOCK = 576
 PAD = b"\xff"
@@ -500,49 +507,112 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_batches(docs, [docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text")], factory, "doc_id long, n_bytes long, media binary", rows=512)
 
 
-def pcm_blocks(media: DataFrame, block_samples: int = 1 << 16, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """PCM blocks: doc_id, block, sample_offset, n_samples, pcm (unsigned 8 bit, or little-endian signed 16 bit). Null media give none."""
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written table of encode_column, read back, with `row`: a number of each stored row."""
+    return materialize(encode_column(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "media", "zstd")
+
+
+def pcm_blocks(media: DataFrame, block_samples: int = 1 << 16, keep: tuple[str, ...] = ("doc_id",), media_col: str = "media") -> DataFrame:
+    """PCM blocks: the columns `keep` of media, then block, n_blocks, sample_offset, n_samples, pcm (unsigned 8 bit, or little-endian
+    signed 16 bit), media_bytes and media_sha256 of the stream they come from. Null media give none."""
 
     def factory():
         def run(batch):
-            ids, streams = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            streams = batch.column(len(keep)).to_pylist()
             some = [i for i, s in enumerate(streams) if s is not None]
-            rows = []
+            at, rows = [], []
             for i, x in zip(some, decode([streams[i] for i in some]), strict=True):
                 deep = Stream(streams[i]).bits == 16
-                for b, at in enumerate(range(0, len(x), block_samples)):
-                    part = x[at : at + block_samples]
-                    rows.append((ids[i], b, at, len(part), part.astype("<i2").tobytes() if deep else (part + 128).astype(np.uint8).tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+                says = len(streams[i]), hashlib.sha256(streams[i]).hexdigest()
+                n = -(-len(x) // block_samples)
+                for b in range(n):
+                    part = x[b * block_samples : (b + 1) * block_samples]
+                    at.append(i)
+                    rows.append((b, n, b * block_samples, len(part), part.astype("<i2").tobytes() if deep else (part + 128).astype(np.uint8).tobytes(), *says))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string())
+            kept = [batch.column(j).take(pa.array(at, pa.int64())) for j in range(len(keep))]
+            return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [*keep, *BLOCKS])
 
         return run
 
-    return map_batches(media, [media[id_col].cast("long").alias("doc_id"), media[media_col].alias("media")], factory, "doc_id long, block int, sample_offset long, n_samples long, pcm binary", rows=256)
+    own = T.StructType([media.schema[c] for c in keep])
+    for name, kind in zip(BLOCKS, ("integer", "integer", "long", "long", "binary", "long", "string"), strict=True):
+        own = own.add(name, kind)
+    return map_batches(media, [*keep, media_col], factory, own, rows=256)
+
+
+BLOCKS = ("block", "n_blocks", "sample_offset", "n_samples", "pcm", "media_bytes", "media_sha256")
+
+
+def read_range(blocks: DataFrame, doc_id: int, start: int, count: int, width: int = 1) -> bytes:
+    """Samples [start, start + count) of a document from the blocks that hold them; `width` bytes a sample. Offsets are filters of the scan."""
+    end = start + count
+    some = blocks.where((F.col("doc_id") == doc_id) & (F.col("sample_offset") < end) & (F.col("sample_offset") + F.col("n_samples") > start))
+    rows = some.select("sample_offset", "pcm").orderBy("sample_offset").collect()  # as many as the range asked for spans
+    first = rows[0].sample_offset if rows else 0
+    return b"".join(bytes(r.pcm) for r in rows)[max(start - first, 0) * width : max(end - first, 0) * width]
+
+
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_digest(media: DataFrame) -> DataFrame:
-    """From the stored bytes alone: payload and media sums, and features of the samples."""
+def _digest(payload: bytes) -> tuple[int, str, int, str]:
+    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+    feature = f"frames={len(x) // BLOCK};sum={int(x.sum())};energy={int((x * x).sum())};crossings={crossings};low={int(x.min())};high={int(x.max())}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature
+
+
+def _digests(ids, sizes, payloads, media_bytes, media_sums) -> pa.RecordBatch:
+    found = [_digest(p) for p in payloads]
+    size, sums, tails, features = ([f[j] for f in found] for j in range(4))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    columns = (ids, sizes, size, sums, tails, media_bytes, media_sums, features)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in DIGEST.split(", ")])
+
+
+def block_digest(blocks: DataFrame) -> DataFrame:
+    """Per stored row, from its PCM blocks (of pcm_blocks with row, doc_id and n_bytes): payload and media sums, and features of the samples.
+
+    Blocks of a row that has several are put together again by row and place; the others stay where they are.
+    """
+    used = ["doc_id", "n_bytes", "pcm", "media_bytes", "media_sha256"]
 
     def factory():
         def run(batch):
-            ids, sizes, streams = (batch.column(i).to_pylist() for i in range(3))
-            rows = []
-            for i, n, s, x in zip(ids, sizes, streams, decode(streams), strict=True):
-                payload = (x + 128).astype(np.uint8).tobytes()
-                square = int((x.astype(np.int64) ** 2).sum())
-                crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-                feature = f"frames={len(x) // BLOCK};sum={int(x.sum())};energy={square};crossings={crossings};low={int(x.min())};high={int(x.max())}"
-                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature))
-            names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], list(names))
+            return _digests(*(batch.column(i).to_pylist() for i in range(5)))
 
         return run
 
-    return map_batches(media, ["doc_id", "n_bytes", "media"], factory, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", rows=512)
+    def whole(group: pa.Table) -> pa.Table:
+        group = group.sort_by("block")
+        if group["block"].to_pylist() != list(range(group["n_blocks"][0].as_py())):
+            raise ValueError("PCM blocks are missing")
+        one = group.slice(0, 1).to_pydict()
+        return pa.Table.from_batches([_digests(one["doc_id"], one["n_bytes"], [b"".join(group["pcm"].to_pylist())], one["media_bytes"], one["media_sha256"])])
+
+    single = map_batches(blocks.where("n_blocks = 1"), used, factory, DIGEST, rows=512)
+    several = blocks.where("n_blocks > 1").select("row", "block", "n_blocks", *used).groupBy("row").applyInArrow(whole, DIGEST)
+    return single.unionByName(several)
+
+
+def media_digest(docs: DataFrame, waves: int = 4) -> DataFrame:
+    """Every text stored as FLAC, read back, written as PCM blocks and digested from these.
+
+    Media and blocks take more room than the texts, so rows go in `waves` by hash; a wave's two tables are
+    deleted when its digests have been written. All rows are in a wave.
+    """
+    out = []
+    rows = docs.select("doc_id", "text")
+    for i in range(waves):
+        media = store_media(rows.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(waves)) == i))
+        blocks = materialize(pcm_blocks(media, keep=("row", "doc_id", "n_bytes")), "blocks", "zstd")
+        forget(media)
+        out.append(materialize(block_digest(blocks), "digests"))
+        forget(blocks)
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digest(encode_column(table(spark, sf_dir, "documents")))
+    return media_digest(table(spark, sf_dir, "documents"))

@@ -133,21 +133,39 @@ def test_foreign_frames(depth, order, parts, method, escape):
 
 
 def test_media_table(spark, odd_docs, no_docs, data):
-    media = flac.encode_column(odd_docs)
-    rows = flac.media_digest(media).collect()
+    media = flac.store_media(odd_docs)
+    rows = flac.media_digest(odd_docs, waves=2).collect()
     src = sorted(flac.padded((r.text or "").encode()) for r in odd_docs.collect())
     assert sorted(r.payload_sha256 for r in rows) == sorted(hashlib.sha256(p).hexdigest() for p in src)
     assert sorted(r.tail_crc32 for r in rows) == sorted(zlib.crc32(p[-32:]) for p in src)
-    blocks = flac.pcm_blocks(media, 1000).where("doc_id = 4").orderBy("block").collect()
-    assert [b.sample_offset for b in blocks] == list(range(0, 1000 * len(blocks), 1000))
-    assert b"".join(bytes(b.pcm) for b in blocks) == flac.padded(odd_docs.where("doc_id = 4").first().text.encode())
-    assert flac.media_digest(flac.encode_column(no_docs)).collect() == []
+    table = flac.materialize(flac.pcm_blocks(media, 1000, ("row", "doc_id", "n_bytes")), "blocks")
+    whole = flac.padded(odd_docs.where("doc_id = 4").first().text.encode())
+    blocks = table.where("doc_id = 4").orderBy("block").collect()
+    assert [b.sample_offset for b in blocks] == list(range(0, 1000 * len(blocks), 1000)) and b"".join(bytes(b.pcm) for b in blocks) == whole
+    for at, n in ((0, 1), (999, 2), (1000, 1000), (4321, 3210), (len(whole) - 5, 100)):
+        assert flac.read_range(table, 4, at, n) == whole[at : at + n]
+    assert sorted(flac.block_digest(table).collect(), key=repr) == sorted(rows, key=repr)  # however the blocks are cut
+    assert flac.media_digest(no_docs).collect() == []
     q = {r.doc_id: r for r in QUERIES["op3_flac"](spark, data).collect()}
     for r in spark.read.parquet(f"{data}/documents.parquet").collect():
         p = flac.padded(r.text.encode())
         assert (q[r.doc_id].payload_bytes, q[r.doc_id].payload_sha256, q[r.doc_id].n_bytes) == (len(p), hashlib.sha256(p).hexdigest(), len(r.text.encode()))
 
 
+def test_damage_in_stored_tables(spark, odd_docs):
+    media = flac.store_media(odd_docs.where("doc_id = 4 or doc_id = 6"))
+    rows = media.collect()
+    at = max(range(len(rows)), key=lambda i: len(rows[i].media))
+    bad = bytearray(rows[at].media)
+    bad[len(bad) // 2] ^= 1
+    damaged = spark.createDataFrame([r if i != at else (r.doc_id, r.n_bytes, bad, r.row) for i, r in enumerate(rows)], media.schema)
+    with pytest.raises(Exception, match="CRC|frame|subframe|sum"):
+        flac.pcm_blocks(damaged, keep=("row", "doc_id", "n_bytes")).collect()
+    blocks = flac.pcm_blocks(media, 1000, ("row", "doc_id", "n_bytes"))
+    with pytest.raises(Exception, match="blocks are missing"):
+        flac.block_digest(blocks.where("block <> 3")).collect()
+
+
 # ---- HTML
 
 
