@@ -6,14 +6,15 @@ from the grams that start within the next `min_words` - `gram_words` words the o
 hash is selected, for every line. Two equal runs of `min_words` words or more select the same gram
 inside, whatever surrounds them, so a repeated run can't be missed for lack of a fingerprint.
 
-Selected grams that occur more than once are the candidates. Around them, the lines that start within
-`min_words` words of a line, and those that end within `min_words` words before its end, are hashed
-as a sequence and joined with the first place that has the same sequence (by doc_id, then position).
-Every line of a repeated run is in one of them, so each is compared with an earlier place that shares
-`min_words` words around it; hot passages give one row a document, never pairs of documents. Each
-(document, earlier document, shift) so found is compared line by line in both directions, and every
-maximal equal run of `min_words` words or more is deleted from the later place. What is deleted is
-exactly what lies in such a run that stands at an earlier place as well.
+Selected grams that occur more than once are the matches' seeds. From a seed, a match is extended both
+ways: ahead by the lines that start within `min_words` words of a line, and back by those that end within
+`min_words` words before a line's end, for every line whose window holds the seed. Such a window, hashed as
+a sequence, is joined with the first place (by doc_id, then position) that has the same sequence. Where that
+is an earlier place, the window is a repeated run; overlapping and touching ones are one. A repeated run of
+`min_words` words or more is the union of its windows ahead, which reach all but its last lines, and of the
+last one back, so what is deleted is exactly what lies in an equal run that stands at an earlier place as
+well. A hot passage gives one row for each of its places: neither pairs of documents nor whole documents
+are joined, and a very long document gives two rows a line at most.
 
 Defined results: a null text stays null and an empty one empty, neither has lines; blank lines are
 kept unless they stand inside a removed run or no other line is left (then the text is empty); a repeated
@@ -29,9 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import join_sized, materialize, table, without
+from .common import forget, join_sized, materialize, table, without
 
-BLANKS = " \t\r"
+BLANKS = " \t\r\x0b\x0c\xa0\u3000"
 
 
 def _trimmed(line: Column) -> Column:
@@ -39,8 +40,10 @@ def _trimmed(line: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    """Words of a trimmed line: its spaces and one more; 0 if empty."""
-    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    """Words of a trimmed line: its runs of blanks and one more; 0 if empty."""
+    plain = F.translate(line, BLANKS, " " * len(BLANKS))
+    single = F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain)
+    return F.when(line == "", 0).otherwise(F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit(""))) + 1)
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,7 +67,7 @@ def selected(rows: DataFrame, min_words: int, gram_words: int) -> DataFrame:
 
 
 def sequences(rows: DataFrame, marks: DataFrame, min_words: int) -> DataFrame:
-    """Around selected grams that occur more than once: doc_id, key, pos (of the first line), seq (hash of `min_words` words of whole lines or a little more)."""
+    """Windows ahead and back that hold a selected gram which occurs more than once: doc_id, key, pos (of the first line), n (lines), seq (hash of the lines, `min_words` words or a little more)."""
     again = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     hot = marks.join(again, "gram", "left_semi").select("key", "pos").distinct().withColumn("hot", F.lit(1))
     near = rows.join(hot.select("key").distinct(), "key", "left_semi").join(hot, ["key", "pos"], "left").withColumn("end", F.col("start") + F.col("words"))
@@ -74,11 +77,11 @@ def sequences(rows: DataFrame, marks: DataFrame, min_words: int) -> DataFrame:
     def seq(frame, first):
         lines_ = F.collect_list("h").over(frame)
         wanted = F.max("hot").over(frame).isNotNull() & (F.sum("words").over(frame) >= min_words)
-        return F.when(wanted, F.struct(F.xxhash64(lines_).alias("seq"), first(F.size(lines_)).alias("pos")))
+        return F.when(wanted, F.struct(F.xxhash64(lines_).alias("seq"), first(F.size(lines_)).alias("pos"), F.size(lines_).alias("n")))
 
     both = near.select("doc_id", "key", seq(ahead, lambda n: F.col("pos")).alias("a"), seq(behind, lambda n: F.col("pos") - n + 1).alias("b"))
     found = both.select("doc_id", "key", F.explode(F.array("a", "b")).alias("s")).where("s is not null")
-    return found.select("doc_id", "key", "s.pos", "s.seq").distinct()
+    return found.select("doc_id", "key", "s.pos", "s.n", "s.seq").distinct()
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50, gram_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,35 +89,19 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, gram_words: int = 25, id
     rows = materialize(lines(docs, id_col, text_col), "lines")
     marks = materialize(selected(rows, min_words, gram_words), "marks")
     places = materialize(sequences(rows, marks, min_words), "sequences")
-    first = places.groupBy("seq").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = join_sized(places, materialize(first, "first"), "seq", places.count()).where("key <> first.key or pos <> first.pos")
-    pairs = pairs.select("key", F.col("first.key").alias("other"), (F.col("first.pos") - F.col("pos")).alias("shift")).distinct()
-    cells = F.sort_array(F.collect_list(F.struct("pos", "h", "start", "words")))
-    flat = rows.groupBy("key").agg(cells.alias("c"))
-    whole = flat.select(
-        "key",
-        F.transform("c", lambda x: x["h"]).alias("hs"),
-        F.concat(F.transform("c", lambda x: x["start"]), F.array(F.element_at("c", -1)["start"] + F.element_at("c", -1)["words"])).alias("starts"),
-    )
-    # Only documents in a pair are compared.
-    used = pairs.select("key").union(pairs.select("other")).distinct()
-    whole = materialize(whole.join(used, "key", "left_semi"), "whole")
-    both = pairs.join(whole, "key").join(whole.select(F.col("key").alias("other"), F.col("hs").alias("there")), "other")
-    n = F.size("hs")
-    here = F.sequence(F.lit(0), n - 1)
-    equal = lambda i: F.coalesce(F.get("hs", i) == F.get("there", i + F.col("shift")), F.lit(False))
-    cut = F.concat(F.array(F.lit(-1)), F.filter(here, lambda i: ~equal(i)), F.array(n))
-    both = both.select("key", "starts", cut.alias("cut"))
-    runs = F.transform(F.sequence(F.lit(0), F.size("cut") - 2), lambda t: F.struct((F.get("cut", t) + 1).alias("from"), F.get("cut", t + 1).alias("to")))
-    long_ones = F.filter(runs, lambda r: (r["to"] > r["from"]) & (F.get("starts", r["to"]) - F.get("starts", r["from"]) >= min_words))
-    found = both.select("key", F.explode(long_ones).alias("run")).distinct()
+    first = places.groupBy("seq").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count("*").alias("places")).where("places > 1")
+    first = materialize(first, "first")
+    later = join_sized(places, first, "seq", places.count(), "places").where("key <> first.key or pos <> first.pos")
+    found = later.select("key", F.struct(F.col("pos").alias("from"), (F.col("pos") + F.col("n")).alias("to")).alias("run")).distinct()
     # Overlapping and touching runs become one.
     order = W.partitionBy("key").orderBy("run.from", "run.to")
     before = F.max("run.to").over(order.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col("run.from") > before), 1).otherwise(0)
     island = found.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     merged = island.groupBy("key", "island").agg(F.min("run.from").alias("from"), F.max("run.to").alias("to"))
-    return merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    runs = materialize(merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs")), "runs")
+    forget(rows, marks, places, first)
+    return runs
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, gram_words: int = 25, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:

@@ -18,8 +18,8 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 
 #: By definition: a line goes if it lies in a run of equal lines, 50 words or more, that stands at an earlier place as well.
 LINE_DEDUP = r"""
-WITH raw AS (SELECT doc_id, i, trim(l[i], E' \t\r') AS line, l[i] AS whole FROM (SELECT doc_id, string_split(text, E'\n') AS l FROM documents), unnest(range(1, len(l) + 1)) t(i)),
-lines AS (SELECT doc_id, i, line, length(line) - length(replace(line, ' ', '')) + 1 AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM raw WHERE line <> ''),
+WITH raw AS (SELECT doc_id, i, trim(l[i], E' \t\r' || chr(11) || chr(12) || chr(160) || chr(12288)) AS line, l[i] AS whole FROM (SELECT doc_id, string_split(text, E'\n') AS l FROM documents), unnest(range(1, len(l) + 1)) t(i)),
+lines AS (SELECT doc_id, i, line, len(string_split(regexp_replace(translate(line, E'\t\r' || chr(11) || chr(12) || chr(160) || chr(12288), '      '), ' +', ' ', 'g'), ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM raw WHERE line <> ''),
 pairs AS (SELECT a.doc_id AS d, a.pos AS p, a.words, b.doc_id AS e, b.pos - a.pos AS shift FROM lines a JOIN lines b ON a.line = b.line AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.pos < a.pos)),
 runs AS (SELECT *, p - row_number() OVER (PARTITION BY d, e, shift ORDER BY p) AS island FROM pairs),
 long AS (SELECT d, e, shift, island FROM runs GROUP BY ALL HAVING sum(words) >= 50),

@@ -126,9 +126,16 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
 # ---- line dedup
 
 
+BLANKS = line_dedup.BLANKS
+
+
+def n_words(line: str) -> int:
+    return len([w for w in re.split(f"[{BLANKS}]", line) if w])
+
+
 def brute_removed(docs: dict, least=50) -> dict:
     """By definition: places among non-blank lines in a run of `least` words or more that stands at an earlier place as well."""
-    lines = {k: [x for x in (y.strip(" \t\r") for y in (v or "").split("\n")) if x] for k, v in docs.items()}
+    lines = {k: [x for x in (y.strip(BLANKS) for y in (v or "").split("\n")) if x] for k, v in docs.items()}
     seen, out = {}, {}
     for k in sorted(docs):
         own = lines[k]
@@ -140,7 +147,7 @@ def brute_removed(docs: dict, least=50) -> dict:
                 a, b = i, j
                 while a < len(own) and b < len(lines[e]) and own[a] == lines[e][b]:
                     a, b = a + 1, b + 1
-                if sum(x.count(" ") + 1 for x in own[i:a]) >= least:
+                if sum(map(n_words, own[i:a])) >= least:
                     gone[i:a] = [True] * (a - i)
             seen.setdefault(own[i], []).append((k, i))
         out[k] = gone
@@ -153,8 +160,8 @@ def test_line_dedup_of_all(docs):
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
     assert {k: r.n_removed for k, r in got.items()} == {k: sum(v) for k, v in want.items()}
     for k, r in got.items():
-        rest = [x for x, g in zip([y for y in src[k].split("\n") if y.strip(" \t\r")], want[k], strict=True) if not g]
-        assert [y for y in r.text.split("\n") if y.strip(" \t\r")] == rest
+        rest = [x for x, g in zip([y for y in src[k].split("\n") if y.strip(BLANKS)], want[k], strict=True) if not g]
+        assert [y for y in r.text.split("\n") if y.strip(BLANKS)] == rest
 
 
 def test_every_repeated_run_is_found(spark):
@@ -166,7 +173,7 @@ def test_every_repeated_run_is_found(spark):
     passages = []
     for _ in range(30):  # some hold lines of others, so a line's first holder need not be its passage's
         p = []
-        while sum(x.count(" ") + 1 for x in p) < 50:
+        while sum(map(n_words, p)) < 50:
             p.append(r.choice((line(), line(), r.choice(common), r.choice(r.choice(passages or [common])))))
         passages.append(p)
     texts = {}
@@ -182,6 +189,29 @@ def test_every_repeated_run_is_found(spark):
     assert owed > 100 and got == want
 
 
+def test_words_are_runs_of_other_signs(spark):
+    """Tabs, no-break and ideographic spaces part words; a run of spaces is one break."""
+    word = [f"w{i}" for i in range(60)]
+    for sep, gone in (("\t", 1), ("\xa0", 1), ("\u3000", 1), (" \t ", 1), ("-", 0)):
+        line = sep.join(word)
+        rows = [(1, line), (2, f"top\n{line}")]
+        got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {1: 0, 2: gone}, repr(sep)
+    table = "\n".join("a" + " " * 60 + "b" for _ in range(3))  # six words
+    assert [r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame([(1, table), (2, table)], "doc_id long, text string")).collect()] == [0, 0]
+
+
+def test_one_passage_in_many_documents(spark):
+    """A licence text in 20,000 documents, alone, after and before other lines; its first place alone keeps it."""
+    licence = "\n".join(" ".join(f"l{i}w{j}" for j in range(12)) for i in range(6))
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.concat(F.lit("own "), F.col("id").cast("string"), F.lit("\n")), F.lit(licence), F.when(F.col("id") % 2 == 0, F.concat(F.lit("\nend "), F.col("id").cast("string"))).otherwise("")).alias("text"))
+    got = line_dedup.line_dedup(rows)
+    counts = {tuple(r) for r in got.groupBy(F.col("doc_id") == 0, "n_removed").count().collect()}
+    assert counts == {(True, 0, 1), (False, 6, n - 1)}
+    assert got.where("doc_id = 7").first().text == "own 7" and got.where("doc_id = 8").first().text == "own 8\nend 8"
+
+
 def test_line_dedup_of_odd_rows(odd_docs, no_docs):
     got = line_dedup.line_dedup(odd_docs).collect()
     assert len(got) == odd_docs.count()
