@@ -9,12 +9,17 @@ fingerprints with equal bits there share a shard. Each shard's members go into a
 keyed by their integer Hamming distance to the parent); a search follows only edges whose key lies
 within the radius of the distance to the node. No link is lost and no pair outside a shard is looked
 at. The number of pieces follows the number of fingerprints so that shards of unlike texts stay
-small. A shard of more than `chunk` members is cut into chunks by hash, and each pair of chunks is a
-task of its own (the tree of one, searched by the other), so a large group of near copies is spread
-over the cluster. A shard gives the links of a spanning forest, not all pairs: as many rows as
-members. Distinct fingerprints stand for all their copies throughout.
+small; such a shard's tree lives in one task.
 
-Components come from alternating large-star and small-star rounds over written tables.
+A shard of more than `chunk` members is dealt to chunks by hash before it is gathered, and each chunk
+becomes a tree of its own. These shard trees are written to a table and broadcast, at most `round_bytes` of
+them at a time; the shard's members stay where they are and search the trees of the chunks after their
+own. A tree whose classes are all joined to the member's already is not searched again, so one dense
+group costs about a search for each pair of its chunks and not for each pair of members. A shard gives
+the links of a spanning forest, not all pairs. Distinct fingerprints stand for all their copies throughout.
+
+Components come from alternating large-star and small-star rounds over written tables; the hub of a large
+class is joined through a broadcast of bounded size.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like
 any other; a null doc_id belongs to its fingerprint's class and never names one (a class of null ids
@@ -33,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_sized, map_batches, materialize, table
+from .common import forget, join_sized, map_batches, materialize, table
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -125,32 +130,84 @@ class BKTree:
         return out
 
 
-def forest(tree_of: list[int], asked: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Links (fingerprint, class root) of a spanning forest: within one chunk, or between a chunk's tree and another chunk's members."""
-    members = tree_of if asked is None else tree_of + asked
-    root = list(range(len(members)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    tree = BKTree()
-    if asked is not None:
-        for v in tree_of:
-            tree.add(v)
-        queries = range(len(tree_of), len(members))
-    else:
-        queries = range(len(members))
-    for i in queries:
-        for j in tree.near(members[i], radius):
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        if asked is None:
-            tree.add(members[i])
-    return [(members[i], members[r]) for i in range(len(members)) if (r := find(i)) != i]
+    def to_bytes(self, roots: list[int]) -> bytes:
+        """Values, parents, edge keys, and a class root for each value."""
+        parent, key = np.zeros(len(self.values), "<u4"), np.zeros(len(self.values), np.uint8)
+        for i, below in enumerate(self.children):
+            for d, child in below.items():
+                parent[child], key[child] = i, d
+        return b"".join((np.array(self.values, "<u8").tobytes(), np.array(roots, "<u8").tobytes(), parent.tobytes(), key.tobytes()))
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> tuple[BKTree, list[int]]:
+        n = len(data) // 21
+        out = cls()
+        out.values = np.frombuffer(data, "<u8", n).tolist()
+        out.children = [{} for _ in range(n)]
+        parents, keys = np.frombuffer(data, "<u4", n, 16 * n).tolist(), np.frombuffer(data, np.uint8, n, 20 * n).tolist()
+        for i in range(1, n):
+            out.children[parents[i]][keys[i]] = i
+        return out, np.frombuffer(data, "<u8", n, 8 * n).tolist()
+
+
+class Sets:
+    """Union-find over any values; a set is named by its least member that was joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def forest(members: list[int], radius: int) -> tuple[BKTree, list[int]]:
+    """The tree of a chunk, and each member's class root within it."""
+    tree, sets = BKTree(), Sets()
+    for x in members:
+        for j in tree.near(x, radius):
+            sets.join(x, members[j])
+        tree.add(x)
+    return tree, [sets.find(x) for x in members]
+
+
+class Searcher:
+    """Members of dense shards against the broadcast trees of later chunks; keeps what it has joined."""
+
+    def __init__(self, trees: dict[int, list[tuple[int, bytes]]], radius: int):
+        self.images, self.radius = trees, radius
+        self.opened: dict[int, list] = {}
+        self.sets = Sets()
+
+    def links(self, shard: int, chunk: int, value: int, root: int) -> list[tuple[int, int]]:
+        """New links between class roots, of the member's and of what it finds."""
+        if shard not in self.opened:
+            made = []
+            for c, image in self.images.get(shard, ()):
+                tree, roots = BKTree.from_bytes(image)
+                made.append((c, tree, roots, set(roots)))
+            self.opened = {shard: made}  # rows of a shard stand together
+        out = []
+        for c, tree, roots, kinds in self.opened[shard]:
+            if c <= chunk:
+                continue
+            mine = self.sets.find(root)
+            if len(kinds) <= 16 and all(self.sets.find(k) == mine for k in kinds):
+                continue
+            for j in tree.near(value, self.radius):
+                if self.sets.join(root, roots[j]):
+                    out.append((root, roots[j]))
+        return out
 
 
 @functools.lru_cache
@@ -169,51 +226,73 @@ def blocks_for(n: int, radius: int = 4, most: int = 64) -> int:
     return radius + 6
 
 
-def links(fps: DataFrame, n: int, radius: int = 4, chunk: int = 1024) -> DataFrame:
+def links(fps: DataFrame, n: int, radius: int = 4, chunk: int = 1024, round_bytes: int = 32 << 20) -> DataFrame:
     """From a table of n distinct fingerprints (fp): the links of spanning forests, columns a and b."""
     wanted = masks(blocks_for(n, radius), radius)
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in wanted])
-    spread = fps.select("fp", F.posexplode(keys).alias("band", "key"))
-    sizes = spread.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    # Members of small shards, and those of each large shard once for each pair of chunks they are in.
+    spread = fps.select("fp", F.posexplode(keys).alias("band", "key")).select("fp", F.xxhash64("band", "key").alias("shard"))
+    sizes = spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     # Shards of one member hold no link and are left out.
-    sized = spread.join(sizes, ["band", "key"]).withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = sized.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
-    dealt = dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "own", "fp")
+    dealt = join_sized(spread, sizes, "shard", n * len(wanted)).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    dealt = dealt.select("shard", "chunk", "chunks", "fp").repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "fp")
 
-    def run(batches):
-        group, chunks = None, None
-        out: list[tuple[int, int]] = []
+    def build(batches):
+        """A small shard's links; a dense shard's members with their roots, and the trees of its chunks."""
+        group, members = None, []
+        out: list[tuple] = []
 
         def close():
             if group is None:
                 return
-            if group[2] == group[3]:
-                out.extend(forest(chunks[0], None, radius))
-            else:
-                out.extend(forest(chunks[0], chunks[1], radius))
+            shard, c, chunks = group
+            tree, roots = forest(members, radius)
+            out.extend((shard, c, _signed(x), _signed(r), None) for x, r in zip(members, roots, strict=True) if chunks > 1 or x != r)
+            if chunks > 1:
+                out.append((shard, c, None, None, tree.to_bytes(roots)))
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([_signed(x[i]) for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["shard", "chunk", "fp", "root", "tree"])
 
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for band, key, i, j, mine, fp in zip(*cols, strict=True):
-                if (band, key, i, j) != group:
+            for shard, c, chunks, fp in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (shard, c, chunks) != group:
                     close()
-                    group, chunks = (band, key, i, j), ([], [])
-                chunks[mine != i].append(fp & 0xFFFFFFFFFFFFFFFF)
-            if len(out) > 50_000:
-                yield flush()
-                out.clear()
+                    group, members = (shard, c, chunks), []
+                    if len(out) > 50_000:
+                        yield flush()
+                        out.clear()
+                members.append(fp & 0xFFFFFFFFFFFFFFFF)
         close()
         if out:
             yield flush()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    made = materialize(dealt.mapInArrow(build, "shard long, chunk int, fp long, root long, tree binary"), "shards")
+    edges = [made.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))]
+    trees = made.where("tree is not null").select("shard", "chunk", "tree")
+    size = trees.agg(F.sum(F.octet_length("tree"))).first()[0] or 0
+    rounds = -(-size // round_bytes)
+    for i in range(rounds):
+        own = trees.where(F.pmod(F.xxhash64("shard", "chunk"), F.lit(rounds)) == i)
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        for row in own.collect():  # round_bytes of trees
+            held.setdefault(row.shard, []).append((row.chunk, bytes(row.tree)))
+        shared = fps.sparkSession.sparkContext.broadcast(held)
+        asked = made.where("tree is null").join(F.broadcast(own.select("shard").distinct()), "shard", "left_semi")
+        edges.append(materialize(asked.select("shard", "chunk", "fp", "root").mapInArrow(_search(shared, radius), "a long, b long"), "found"))
+    return functools.reduce(DataFrame.union, edges).distinct()
+
+
+def _search(shared, radius: int):
+    def run(batches):
+        searcher = Searcher(shared.value, radius)
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for shard, c, fp, root in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                out += searcher.links(shard, c, fp & 0xFFFFFFFFFFFFFFFF, root & 0xFFFFFFFFFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(x[i]) for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -223,19 +302,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ones). Every round is written to the shared folder; they are few, as a class's paths halve.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
+    seen, n = None, now.count()
     for _ in range(rounds):
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        large = join_sized(both, low, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = materialize(small.where("u <> v").distinct(), "links")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = join_sized(large, low, "u", n).select(F.explode(ends).alias("e")).select("e.*")
+        before, now = now, materialize(small.where("u <> v").distinct(), "links")
+        forget(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+        seen, n = state, state[0]
     raise RuntimeError("the classes did not settle")
 
 
@@ -244,11 +325,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, chunk: i
     own = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     found = components(links(distinct.select("fp"), distinct.count(), radius, chunk))
-    named = found.join(distinct.withColumnRenamed("fp", "node"), "node").select("root", "first")
-    named = named.union(found.select("root").distinct().join(distinct.withColumnRenamed("fp", "root"), "root").select("root", "first"))
-    best = named.groupBy("root").agg(F.min("first").alias("best"))
-    found = found.union(found.select(F.col("root").alias("node"), "root").distinct())
-    named = found.join(best, "root").select(F.col("node").alias("fp"), "root", "best")
+    found = materialize(found.union(found.select(F.col("root").alias("node"), "root").distinct()), "classes")
+    named = found.join(distinct.select(F.col("fp").alias("node"), "first"), "node")
+    best = named.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n"))
+    named = join_sized(found, best, "root", found.count()).select(F.col("node").alias("fp"), "root", "best")
     names = distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("class"), F.coalesce("best", "first").alias("component_id"))
     names = materialize(names, "names")
     return join_sized(own, names, "fp", own.count()).select("doc_id", "key", "fp", "class", "component_id")

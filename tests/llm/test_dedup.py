@@ -54,20 +54,19 @@ def test_bk_tree_and_forest():
         tree.add(v)
     for q in values[:40]:
         assert sorted(tree.near(q, 4)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= 4]
-    half = len(values) // 2
-    edges = simhash.forest(values[:half], None, 4) + simhash.forest(values[half:], None, 4) + simhash.forest(values[:half], values[half:], 4)
-    root = {v: v for v in values}
-
-    def find(v):
-        while root[v] != v:
-            v = root[v]
-        return v
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
+    third = len(values) // 3
+    sets, chunks = simhash.Sets(), [values[:third], values[third : 2 * third], values[2 * third :]]
+    made = [simhash.forest(c, 4) for c in chunks]
+    searcher = simhash.Searcher({7: [(i, t.to_bytes(r)) for i, (t, r) in enumerate(made)]}, 4)
+    for i, (c, (_, roots)) in enumerate(zip(chunks, made, strict=True)):
+        for v, r in zip(c, roots, strict=True):
+            sets.join(v, r)
+            for a, b in searcher.links(7, i, v, r):
+                sets.join(a, b)
     want = brute_classes(values)
-    assert all((find(values[i]) == find(values[j])) == (want[i] == want[j]) for i, j in itertools.combinations(range(len(values)), 2))
+    assert all((sets.find(values[i]) == sets.find(values[j])) == (want[i] == want[j]) for i, j in itertools.combinations(range(len(values)), 2))
+    back, roots = simhash.BKTree.from_bytes(made[0][0].to_bytes(made[0][1]))
+    assert (back.values, back.children, roots) == (made[0][0].values, made[0][0].children, made[0][1])
 
 
 @pytest.mark.parametrize("blocks", [5, 6, 8])
@@ -81,13 +80,13 @@ def test_masks_lose_nothing(blocks):
         assert any(x & m == 0 for m in masks)
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
-def test_links_and_components(spark, chunk):
+@pytest.mark.parametrize(("chunk", "round_bytes"), [(1024, 1 << 20), (3, 1 << 20), (3, 200)])
+def test_links_and_components(spark, chunk, round_bytes):
     r = random.Random(11)
     base = [r.getrandbits(64) for _ in range(40)]
     values = sorted({(b ^ sum(1 << x for x in r.sample(range(64), r.randint(0, 5)))) for b in base for _ in range(r.randint(1, 9))})
     df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
-    found = simhash.components(simhash.links(df, len(values), 4, chunk))
+    found = simhash.components(simhash.links(df, len(values), 4, chunk, round_bytes))
     root = {r.node & (2**64 - 1): r.root for r in found.collect()}
     want = brute_classes(values)
     for i, j in itertools.combinations(range(len(values)), 2):
@@ -95,6 +94,20 @@ def test_links_and_components(spark, chunk):
         assert (a == b) == (want[i] == want[j])
 
 
+def test_one_dense_class(spark):
+    """20,000 different fingerprints around one, and 2,000 that stand alone."""
+    r = random.Random(13)
+    base = r.getrandbits(64)
+    near = {base}
+    while len(near) < 20_000:
+        near.add(base ^ sum(1 << x for x in r.sample(range(64), r.randint(1, 4))))
+    alone = {r.getrandbits(64) for _ in range(2000)} - near
+    df = spark.createDataFrame([(simhash._signed(v),) for v in sorted(near | alone)], "fp long").repartition(4)
+    found = simhash.components(simhash.links(df, len(near | alone)))
+    root = {x.node & (2**64 - 1): x.root for x in found.collect()}
+    assert len({root.get(v) for v in near - {min(near, key=simhash._signed)}}) == 1 and not any(v in root for v in alone)
+
+
 def test_long_chain(spark):
     """A path of hundreds of links is one class."""
     n = 300
