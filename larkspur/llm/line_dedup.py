@@ -35,22 +35,32 @@ from .common import forget, join_sized, materialize, table, without
 BLANKS = " \t\r\x0b\x0c\xa0\u3000"
 
 
-def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(BLANKS))
+def _odd(text: Column) -> Column:
+    """Whether a text holds blanks other than single spaces; only then do its lines take the longer way."""
+    return text.rlike("[\t\r\x0b\x0c\xa0\u3000]|  ")
 
 
-def _words(line: Column) -> Column:
-    """Words of a trimmed line: its runs of blanks and one more; 0 if empty."""
-    plain = F.translate(line, BLANKS, " " * len(BLANKS))
-    single = F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain)
-    return F.when(line == "", 0).otherwise(F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit(""))) + 1)
+def _trimmed(text: Column) -> Column:
+    """The text's lines without blanks around them."""
+    parts = F.split(text, "\n")
+    return F.when(_odd(text), F.transform(parts, lambda x: F.btrim(x, F.lit(BLANKS)))).otherwise(F.transform(parts, F.trim))
+
+
+def _breaks(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+
+
+def _cells(text: Column) -> Column:
+    """Of each non-blank line its hash and its words (runs of blanks inside and one more)."""
+    rows = F.filter(_trimmed(text), lambda x: x != "")
+    plain = lambda x: F.regexp_replace(F.translate(x, BLANKS, " " * len(BLANKS)), " +", " ")
+    cell = lambda x, words: F.struct(F.xxhash64(x).alias("h"), (words + 1).cast("long").alias("words"))
+    return F.when(_odd(text), F.transform(rows, lambda x: cell(x, _breaks(plain(x))))).otherwise(F.transform(rows, lambda x: cell(x, _breaks(x))))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Non-blank lines: doc_id, key (hash of id and text), pos (0, 1, ...), h, start (words of the document before the line), words."""
-    pieces = F.filter(F.transform(F.split(F.col(text_col), "\n"), _trimmed), lambda x: x != "")
-    cells = F.transform(pieces, lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).cast("long").alias("words")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.posexplode(cells).alias("pos", "cell"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.posexplode(_cells(F.col(text_col))).alias("pos", "cell"))
     rows = rows.select("doc_id", "key", "pos", "cell.h", "cell.words").dropDuplicates(["key", "pos"])
     before = W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
@@ -110,9 +120,10 @@ def line_dedup(docs: DataFrame, min_words: int = 50, gram_words: int = 25, id_co
         raise ValueError("gram_words must lie between 1 and min_words")
     docs = without(docs, [f"{prefix}n_lines", f"{prefix}n_removed"])
     runs = repeated_runs(docs, min_words, gram_words, id_col, text_col).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
-    rows = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(runs, "__key", "left")
+    # A merge join at every size: the table of runs grows with the documents.
+    rows = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(runs.hint("merge"), "__key", "left")
     rows = rows.withColumn("__lines", F.split(F.col(text_col), "\n"))
-    places = F.transform("__lines", lambda x, i: F.when(_trimmed(x) != "", i))
+    places = F.transform(_trimmed(F.col(text_col)), lambda x, i: F.when(x != "", i))
     rows = rows.withColumn("__places", F.filter(places, lambda i: i.isNotNull()))
     # what stands between the runs, by places among all lines
     edge = lambda t: F.get("__runs", t)
