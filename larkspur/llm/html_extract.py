@@ -1,27 +1,33 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes, decoded along the hierarchy.
 
 A page is parsed into a tree (implied ends, void elements, raw text of scripts and styles, unclosed
-tags and a cut-off end are handled). Every element gets features of its subtree density (text, link
-text, tags, sentence signs), its attribute tokens and its ancestors' (hashed, and by what they say),
-its depth and its place and likeness among its siblings. Gradient-boosted trees give the probability
-that the element belongs to the article. Decoding gives each element one of three states, outside,
-article, removed, that can only move forward from an ancestor to a descendant; the assignment with
-the highest total log probability is found by one pass up and one down, so a removed menu can't hold
-a kept paragraph and an article's paragraph can't stand in a removed block.
-
-The trees are trained on pages made from a rule (`training_pages`), with layouts, names and nesting
-drawn at random. Training is a fixed cost; pages are read whole.
-
-Defined results: null, empty or tagless html gives the text around no element that is kept (a page
-without any element keeps its plain text as one block); repeated rows give equal results; extra
-columns are ignored; an empty table gives an empty table; a null page_id stays null.
+tags, stray quotes and a cut-off end are handled; the root stands for an implied body). Every element that
+makes a block, or names itself, gets features of its subtree density (text, link text, tags, sentence signs),
+its place relative to the densest container of prose, its attribute tokens and its ancestors' (hashed, and
+by what they say), its depth and its place and likeness among its siblings. Gradient-boosted trees give the
+probability that the element belongs to the article. Inline mark-up without names goes with what it stands in.
+
+Decoding gives each element one of three states, outside, article, removed, that can only move forward from
+an ancestor to a descendant; the assignment with the highest total log probability is found by one pass up
+and one down, so a removed menu can't hold a kept paragraph and an article's paragraph can't stand in a
+removed block. Elements that are no article by their kind (menus, forms, footers, labels, hidden ones, page
+headers, ...) force removal on everything below them. If nothing is kept though blocks of prose stand outside such
+elements, the article's score is raised by doubling steps until something is.
+
+The trees are trained on pages made from a rule (`html_pages`), families of layouts with names, nesting
+and mark-up drawn at random. Training is a fixed cost; pages are read whole.
+
+Defined results: null or empty html, and pages without prose outside of removed elements, give an empty
+text; a page without any tag keeps its plain text as one block; a quote opens a value right after `=` only,
+elsewhere it is an ordinary sign; a value that is not closed takes the rest of the page; very long and very
+deep pages are read whole, without recursion; repeated rows and ties (the state further out) give equal results;
+extra columns are ignored; an empty table gives an empty table; a null page_id stays null.
 """
 
 from __future__ import annotations
 
 import functools
 import html
-import random
 import re
 from dataclasses import dataclass, field
 
@@ -30,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_batches, table
+from .html_pages import ROOT, labelled_pages
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -47,8 +54,12 @@ ENDS = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.S)
-ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|(?!["'])))*+)(>|\Z)""", re.S)
+ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']*[^\s>]*))?""")
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+#: what an attribute says of an element that is no article
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar tooltip".split())
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SPACE = re.compile(r"\s+")
 TOKEN = re.compile(r"[a-z]+")
 
@@ -61,11 +72,35 @@ class Node:
     attrs: str = ""
     #: text pieces and the numbers of child elements, in order
     parts: list = field(default_factory=list)
+    #: no article by its kind, nor anything in it
+    never: bool = False
+    #: inline mark-up that goes with what it stands in
+    inline: bool = False
+
+
+@functools.lru_cache(maxsize=20_000)
+def _values(attrs: str) -> tuple[tuple[str, str], ...]:
+    """Names and values of class, id, role and the like."""
+    return tuple((m[1].lower(), m[2].strip("\"'").lower()) for m in ATTR.finditer(attrs) if m[2] and m[1].lower() in ("class", "id", "role", "itemprop", "aria-label"))
+
+
+def kinds(nodes: list[Node]) -> None:
+    """Marks elements that are never article, and inline ones without names."""
+    in_article = [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        if not i:
+            continue
+        up = nodes[node.parent]
+        in_article[i] = in_article[node.parent] or node.tag in ("article", "main")
+        named = _values(node.attrs) if node.attrs else ()
+        kind = node.tag in NEVER or node.tag == "header" and not in_article[i]
+        node.never = up.never or kind or any(k == "role" and v in ROLES for k, v in named) or bool(node.attrs and HIDDEN.search(node.attrs))
+        node.inline = node.tag in INLINE and (not named or up.inline)
 
 
 def parse(page: str) -> list[Node]:
     """Elements in page order; number 0 is the root. Text inside raw elements is dropped."""
-    nodes = [Node("#root", -1, 0)]
+    nodes = [Node("body", -1, 0)]
     stack = [0]
     at, n = 0, len(page)
 
@@ -123,33 +158,35 @@ def parse(page: str) -> list[Node]:
             rest = page[at:]
             cut = re.search(r"</?[a-zA-Z!][^<]*\Z|<\Z|</\Z", rest)
             nodes[stack[-1]].parts.append(rest[: cut.start()] if cut else rest)
+    kinds(nodes)
     return nodes
 
 
 # ---- features
 
 SAYS = {
-    "good": frozenset("article content post story entry body main text prose blog news page maincontent".split()),
-    "menu": frozenset("nav menu navbar navigation breadcrumb breadcrumbs tabs toc pagination pager links sitemap".split()),
-    "edge": frozenset("header footer masthead banner foot head top bottom copyright legal".split()),
-    "side": frozenset("sidebar side aside widget rail related recommended popular trending more".split()),
-    "ad": frozenset("ad ads advert advertisement sponsor sponsored promo promoted adsense dfp banner outbrain taboola".split()),
-    "talk": frozenset("comment comments discussion disqus reply replies respond reader".split()),
-    "ask": frozenset("form subscribe newsletter signup login search share social cookie consent notice alert modal popup gdpr banner".split()),
+    "good": frozenset("article content post story entry body main text prose blog news page maincontent markdown".split()),
+    "menu": frozenset("nav menu navbar navigation breadcrumb breadcrumbs tabs toc pagination pager links sitemap topnav".split()),
+    "edge": frozenset("header footer masthead banner foot head top bottom copyright legal branding colophon".split()),
+    "side": frozenset("sidebar side aside widget rail related recommended popular trending more secondary".split()),
+    "ad": frozenset("ad ads advert advertisement sponsor sponsored promo promoted adsense dfp outbrain taboola".split()),
+    "talk": frozenset("comment comments commentlist discussion disqus reply replies respond response responses reader talkback".split()),
+    "ask": frozenset("form subscribe newsletter signup login search share social poll cookie consent notice alert modal popup gdpr announcement".split()),
 }
-TAGS = ("div", "p", "article", "section", "main", "nav", "header", "footer", "aside", "ul", "ol", "li", "a", "h1", "h2", "h3", "form", "table", "tr", "td", "blockquote", "pre", "span", "b", "figure", "figcaption", "body", "button")
-TAG_NO = {t: i + 1 for i, t in enumerate(TAGS)}
+GROUPS = {t: i for i, ts in enumerate(("", "p", "h1", "h2 h3 h4 h5 h6", "li", "ul ol", "td th", "tr tbody thead tfoot", "table", "pre code", "blockquote", "dl dt dd", "figure figcaption", "div", "section", "article main", "body html", "header", "center font details summary address")) for t in ts.split()}
 BUCKETS = 8
-NAMES = ("tag", "depth", "chars", "own", "words", "links", "link_share", "tags", "density", "stops", "commas", "paragraphs", "place", "siblings", "same_siblings", "sib_share", "page_share", "before", "in_link", *(f"own_{k}" for k in SAYS), *(f"up_{k}" for k in SAYS), "up_never", "up_good", *(f"hash{i}" for i in range(BUCKETS)))
+NAMES = (
+    "group", "depth", "chars", "own", "words", "links", "link_share", "tags", "density", "stops", "commas", "paragraphs", "place", "siblings", "same_siblings", "sib_share", "page_share", "before",
+    "prose", "prose_share", "direct", "direct_share", "best", "to_best", "sib_prose", "next_prose", "prev_prose", "up_direct", "prose_before", "has_article", "in_article", "holds_article", "headings", "before_h1",
+    *(f"own_{k}" for k in SAYS), *(f"up_{k}" for k in SAYS), *(f"hash{i}" for i in range(BUCKETS)),
+)
+MAIN = ("article", "main")
 
 
 @functools.lru_cache(maxsize=20_000)
 def _said(attrs: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """What class, id and role tokens say, by kind; and their hash buckets."""
-    words = []
-    for m in ATTR.finditer(attrs):
-        if m[1].lower() in ("class", "id", "role", "itemprop", "aria-label") and m[2]:
-            words += TOKEN.findall(m[2].strip("\"'").lower())
+    words = [w for _, v in _values(attrs) for w in TOKEN.findall(v)]
     bits = [0] * BUCKETS
     for w in words:
         bits[sum(ord(c) * (i + 7) for i, c in enumerate(w)) % BUCKETS] += 1
@@ -157,28 +194,45 @@ def _said(attrs: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
 
 
 def node_features(nodes: list[Node]) -> np.ndarray:
-    """A row for each element."""
+    """A row for each element; inline mark-up without names counts in what it stands in, its own rows are not used."""
     n = len(nodes)
-    own = [0] * n
-    chars, words, links, tags, stops, commas, paras = ([0] * n for _ in range(7))
+    own, own_links, own_stops = [0] * n, [0] * n, [0] * n
+    chars, words, links, link_chars, tags, stops, commas, paras, heads = ([0] * n for _ in range(9))
+    owner, linked = list(range(n)), [False] * n
     for i, node in enumerate(nodes):
+        if i:
+            linked[i] = linked[node.parent] or node.tag == "a"
+            if node.inline:
+                owner[i] = owner[node.parent]
+        if node.tag in RAW:
+            continue
+        o = owner[i]
         for p in node.parts:
             if p.__class__ is str:
-                s = len(p)
-                own[i] += s
+                t = p.strip()
+                if not t:
+                    continue
+                s, dots = len(t), t.count(".") + t.count("!") + t.count("?")
+                own[o] += s
+                own_stops[o] += dots
                 chars[i] += s
-                words[i] += p.count(" ") + 1
-                stops[i] += p.count(".") + p.count("!") + p.count("?")
-                commas[i] += p.count(",")
-        if node.tag == "a":
-            links[i] = 1
-        if node.tag in RAW:
-            chars[i] = words[i] = stops[i] = commas[i] = own[i] = 0
-    link_chars = [0] * n
+                words[i] += t.count(" ") + 1
+                stops[i] += dots
+                commas[i] += t.count(",")
+                if linked[i]:
+                    own_links[o] += s
+                    link_chars[i] += s
+        links[i] = node.tag == "a"
+        paras[i] = node.tag == "p"
+        heads[i] = node.tag in ("h1", "h2", "h3")
+    # prose: own text of blocks with a sentence sign that is mostly no link, outside of what is never article
+    prose = [own[i] if own_stops[i] and 2 * own_links[i] < own[i] and own[i] >= 15 and not nodes[i].never else 0 for i in range(n)]
+    direct = prose[:]  # of an element and of its children that are paragraphs or the like
+    below = prose[:]
+    articles = [node.tag in MAIN and not node.never for node in nodes]
+    holds = [0] * n
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
-        if nodes[i].tag == "a":
-            link_chars[i] = chars[i]
         chars[p] += chars[i]
         words[p] += words[i]
         links[p] += links[i]
@@ -186,40 +240,83 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         tags[p] += tags[i] + 1
         stops[p] += stops[i]
         commas[p] += commas[i]
-        paras[p] += paras[i] + (nodes[i].tag == "p")
+        paras[p] += paras[i]
+        heads[p] += heads[i]
+        below[p] += below[i]
+        holds[p] += holds[i] + articles[i]
+        direct[p] += prose[i]
+    order = sorted(range(n), key=lambda i: (-direct[i], i))
+    best = order[0] if n and direct[order[0]] else -1
+    relation = [0] * n  # to the container with the most direct prose: 1 above, 2 itself, 3 inside, 4 beside
+    if best >= 0:
+        relation[best], j = 2, best
+        while j:
+            j = nodes[j].parent
+            relation[j] = 1
+        for i in range(best + 1, n):
+            if relation[nodes[i].parent] in (2, 3):
+                relation[i] = 3
+        for i in range(1, n):
+            if not relation[i] and nodes[i].parent == nodes[best].parent and best:
+                relation[i] = 4
     rows = np.zeros((n, len(NAMES)), np.float32)
-    total = max(chars[0], 1)
-    up = [(0,) * len(SAYS)] * n
-    never, good, linked = [0] * n, [0] * n, [0] * n
-    place, same, kin = [0] * n, [0] * n, [1] * n
-    for i, node in enumerate(nodes):
-        kids = [p for p in node.parts if p.__class__ is int]
+    total, all_prose, most = max(chars[0], 1), max(below[0], 1), max(direct[best], 1) if best >= 0 else 1
+    first_h1 = next((i for i in range(n) if nodes[i].tag == "h1" and not nodes[i].never), -1)
+    zero = (0,) * len(SAYS)
+    up, inside = [zero] * n, [0] * n
+    place, kin, same, prev_prose, next_prose = [0] * n, [1] * n, [1] * n, [0] * n, [0] * n
+    for node in nodes:
+        kids = [p for p in node.parts if p.__class__ is int and not nodes[p].inline]
+        if not kids:
+            continue
         seen: dict[str, int] = {}
         for j, k in enumerate(kids):
-            t = nodes[k].tag
-            seen[t] = seen.get(t, 0) + 1
+            seen[nodes[k].tag] = seen.get(nodes[k].tag, 0) + 1
             place[k], kin[k] = j, len(kids)
+            if j:
+                prev_prose[k], next_prose[kids[j - 1]] = below[kids[j - 1]], below[k]
         for k in kids:
             same[k] = seen[nodes[k].tag]
-    seen_chars = 0
+    seen_chars, seen_prose = 0, 0
     for i, node in enumerate(nodes):
-        said, bits = _said(node.attrs)
+        said, bits = _said(node.attrs) if node.attrs else (zero, (0,) * BUCKETS)
+        p = max(node.parent, 0)
         if i:
-            p = node.parent
-            up[i] = tuple(map(int.__add__, up[p], _said(nodes[p].attrs)[0]))
-            never[i] = never[p] + (nodes[p].tag in NEVER)
-            good[i] = good[p] + (nodes[p].tag in ("article", "main"))
-            linked[i] = linked[p] + (nodes[p].tag == "a")
-        c = chars[i]
-        rows[i] = (
-            TAG_NO.get(node.tag, 0), node.depth, min(c, 1e6), min(own[i], 1e6), min(words[i], 1e6), links[i], link_chars[i] / max(c, 1), tags[i], c / (tags[i] + 1),
-            stops[i], commas[i], paras[i], place[i], kin[i], same[i], c / max(chars[node.parent] if i else c, 1), c / total, seen_chars / total, linked[i],
-            *said, *up[i], never[i], good[i], *bits,
-        )
+            if nodes[p].attrs:
+                up[i] = tuple(map(int.__add__, up[p], _said(nodes[p].attrs)[0]))
+            else:
+                up[i] = up[p]
+            inside[i] = inside[p] + articles[p]
+        if not node.inline:
+            c = chars[i]
+            rows[i] = (
+                GROUPS.get(node.tag, 0), min(node.depth, 40), min(c, 1e6), min(own[i], 1e6), min(words[i], 1e6), links[i], link_chars[i] / max(c, 1), tags[i], c / (tags[i] + 1), stops[i], commas[i], paras[i], place[i], kin[i], same[i], c / max(chars[p], 1), c / total, seen_chars / total,
+                prose[i], below[i] / all_prose, direct[i], direct[i] / most, relation[i], below[i] / max(direct[best], 1) if best >= 0 else 0, below[p] - below[i], next_prose[i], prev_prose[i], direct[p] / most, seen_prose / all_prose, holds[0], inside[i], holds[i], heads[i], i < first_h1,
+                *said, *up[i], *bits,
+            )
         seen_chars += own[i]
+        seen_prose += prose[i]
     return rows
 
 
+def prose_outside(nodes: list[Node]) -> bool:
+    """Whether a block of prose stands outside of elements that are never article."""
+    text, link = {}, {}
+    owner, linked = list(range(len(nodes))), [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        if i:
+            linked[i] = linked[node.parent] or node.tag == "a"
+            if node.inline:
+                owner[i] = owner[node.parent]
+        if node.never or node.tag in RAW:
+            continue
+        for p in node.parts:
+            if p.__class__ is str and (t := p.strip()):
+                text[owner[i]] = text.get(owner[i], "") + " " + t
+                link[owner[i]] = link.get(owner[i], 0) + len(t) * linked[i]
+    return any(len(t) >= 15 and re.search(r"[.!?…。]", t) and 2 * link[i] < len(t) for i, t in text.items())
+
+
 # ---- gradient-boosted trees
 
 
@@ -244,136 +341,69 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 32, leaf: float = 2.0) -> Trees:
-    """Logistic loss, Newton leaves, splits over quantile bins."""
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 60, depth: int = 5, rate: float = 0.2, bins: int = 32, leaf: float = 3.0) -> Trees:
+    """Logistic loss, Newton leaves, splits over quantile bins; a level's histograms are made at once."""
     n, m = x.shape
+    weight = np.ones(n) if weight is None else weight
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
-    binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
     width = bins + 1
-    prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    flat = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1) + np.arange(m) * width
+    usable = np.arange(width)[None, :] < np.array([len(e) for e in edges])[:, None]
+    mean = (y * weight).sum() / weight.sum()
+    prior = float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
     score = np.full(n, prior)
     inner, leaves = (1 << depth) - 1, 1 << depth
     feature, threshold, value = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, leaves))
-    flat = binned + np.arange(m) * width
     for t in range(trees):
         p = 1 / (1 + np.exp(-score))
-        g, h = y - p, p * (1 - p)
+        g, h = (y - p) * weight, p * (1 - p) * weight
         at = np.zeros(n, np.int64)
         for d in range(depth):
-            first = (1 << d) - 1
-            for node in range(first, 2 * first + 1):
-                rows = np.flatnonzero(at == node)
-                if len(rows) < 8:
-                    continue
-                key = flat[rows].ravel()
-                gs = np.bincount(key, np.repeat(g[rows], m), m * width).reshape(m, width).cumsum(axis=1)
-                hs = np.bincount(key, np.repeat(h[rows], m), m * width).reshape(m, width).cumsum(axis=1)
-                G, H = gs[:, -1:], hs[:, -1:]
-                gain = gs**2 / (hs + leaf) + (G - gs) ** 2 / (H - hs + leaf) - G**2 / (H + leaf)
-                gain[(hs < 1e-3) | (H - hs < 1e-3)] = 0
-                j, b = np.unravel_index(gain.argmax(), gain.shape)
-                if gain[j, b] > 1e-6 and b < len(edges[j]):
-                    feature[t, node], threshold[t, node] = j, edges[j][b]
+            first, many = (1 << d) - 1, 1 << d
+            key = (flat + ((at - first) * (m * width))[:, None]).ravel()
+            gs, hs = (np.bincount(key, np.repeat(v, m), many * m * width).reshape(many, m, width).cumsum(axis=2) for v in (g, h))
+            G, H = gs[:, :, -1:], hs[:, :, -1:]
+            gain = gs**2 / (hs + leaf) + (G - gs) ** 2 / (H - hs + leaf) - G**2 / (H + leaf)
+            gain[(hs < 1) | (H - hs < 1) | ~usable] = 0
+            top = gain.reshape(many, -1).argmax(axis=1)
+            for k in range(many):
+                j, b = divmod(int(top[k]), width)
+                if gain[k, j, b] > 1e-6:
+                    feature[t, first + k], threshold[t, first + k] = j, edges[j][b]
             at = 2 * at + 1 + (x[np.arange(n), feature[t][at]] > threshold[t][at])
-        for k in range(leaves):
-            rows = at == k + inner
-            if rows.any():
-                value[t, k] = rate * g[rows].sum() / (h[rows].sum() + leaf)
+        value[t] = rate * np.bincount(at - inner, g, leaves) / (np.bincount(at - inner, h, leaves) + leaf)
         score = score + value[t][at - inner]
     return Trees(feature, threshold, value, prior)
 
 
-# ---- training pages
-
-
-def training_pages(n: int = 240, seed: int = 11) -> list[str]:
-    """Pages made from a rule; elements that belong to the article have the attribute keep."""
-    r = random.Random(seed)
-    words = "the of an in re on er sta la que de und mit les pour con una ting ver heit que ment tion ales oria".split()
-    word = lambda: "".join(r.choice(words) for _ in range(r.randint(1, 3)))
-    phrase = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
-
-    def prose(a=1, b=6) -> str:
-        return " ".join((phrase(3, 18).capitalize() + r.choice((".", ".", ".", "!", "?", ", " + phrase(2, 8) + "."))) for _ in range(r.randint(a, b)))
-
-    def links(k: int) -> str:
-        return "".join(f'<li><a href="/{word()}">{phrase(1, 3)}</a></li>' for _ in range(k))
-
-    pages = []
-    for _ in range(n):
-        cls = lambda names, on=0.7: f' {r.choice(("class", "class", "id"))}="{r.choice(names)}"' if r.random() < on else ""
-        keep = " keep"
-        body = [f"<h1{keep}>{phrase(3, 12).capitalize()}</h1>"] if r.random() < 0.9 else []
-        if r.random() < 0.3:
-            body.append(f'<div{cls(["byline", "meta", "date"], 1)}>{phrase(2, 5)}</div>')
-        for _ in range(r.randint(1, 14)):
-            x = r.random()
-            if x < 0.72:
-                t = prose()
-                if r.random() < 0.2:
-                    t = t.replace(" ", f' <a{keep} href="/x">{word()}</a> ', 1)
-                if r.random() < 0.1:
-                    t = f"<b{keep}>{t}" + r.choice(("</b>", "<br>"))
-                body.append(f"<p{keep}>{t}</p>")
-            elif x < 0.8:
-                body.append(f"<h2{keep}>{phrase(1, 6)}</h2>")
-            elif x < 0.84:
-                body.append(f"<blockquote{keep}><p{keep}>{prose(1, 2)}</p></blockquote>")
-            elif x < 0.88:
-                body.append(f"<ul{keep}>" + "".join(f"<li{keep}>{phrase(3, 14)}.</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-            elif x < 0.9:
-                body.append(f"<pre{keep}>{phrase(4, 20)}</pre>")
-            elif x < 0.92:
-                body.append(f"<table{keep}><tr{keep}><td{keep}>{phrase(1, 4)}</td><td{keep}>{phrase(1, 4)}</td></tr></table>")
-            elif x < 0.95:
-                body.append(f'<div{cls(["ad", "advert", "sponsored", "promo"], 1)}>{prose(1, 2)}</div>')
-            elif x < 0.97:
-                body.append(f'<div{cls(["share", "social", "related", "newsletter"], 1)}><p>{phrase(2, 8)}</p><a href="/a">{word()}</a></div>')
-            else:
-                body.append(f'<form{cls(["subscribe", "search"])}><label>{phrase(1, 4)}</label><input name="q"><button>{word()}</button></form>')
-        article = "".join(body)
-        wrap = r.choice(("article", "article", "main", "div", "section"))
-        names = ["content", "post", "article-body", "entry-content", "story", "main-text", "post-body"]
-        article = f"<{wrap}{keep}{cls(names, 1 if wrap in ('div', 'section') and r.random() < 0.85 else 0.3)}>{article}</{wrap}>"
-        for _ in range(r.randint(0, 2)):
-            article = f"<div{cls(['wrap', 'container', 'row', 'col', 'page'])}>{article}</div>"
-        top = [f"<{t}{cls(['menu', 'navbar', 'nav', 'topnav'], 0.6 if t == 'nav' else 1)}><ul>{links(r.randint(2, 8))}</ul></{t}>" for t in [r.choice(("nav", "nav", "div"))] if r.random() < 0.9]
-        if r.random() < 0.6:
-            top.insert(0, f'<header{cls(["header", "masthead"], 0.5)}><a href="/">{phrase(1, 3)}</a>{f"<p>{phrase(2, 7)}</p>" if r.random() < 0.4 else ""}</header>')
-        if r.random() < 0.6:
-            top.append(f'<div{cls(["ad", "ads", "advertisement", "sponsored", "banner"], 1)}>{prose(1, 3)}</div>')
-        if r.random() < 0.25:
-            top.append(f'<div{cls(["cookie-notice", "consent", "alert", "gdpr"], 1)}><p>{prose(1, 2)}</p><button>{word()}</button></div>')
-        end = []
-        if r.random() < 0.5:
-            t = r.choice(("aside", "div"))
-            inner = f"<h3>{phrase(1, 3)}</h3><ul>{links(r.randint(2, 6))}</ul>" if r.random() < 0.6 else f"<p>{prose(1, 3)}</p>"
-            end.append(f"<{t}{cls(['sidebar', 'widget', 'related', 'rail'], 0.5 if t == 'aside' else 1)}>{inner}</{t}>")
-        if r.random() < 0.4:
-            t = r.choice(("section", "div", "ol"))
-            end.append(f'<{t}{cls(["comments", "comment-list", "discussion", "replies"], 1)}>' + "".join(f'<div class="comment"><b>{word()}</b><p>{prose(1, 3)}</p></div>' for _ in range(r.randint(1, 5))) + f"</{t}>")
-        if r.random() < 0.9:
-            t = r.choice(("footer", "footer", "footer", "div"))
-            end.append(f"<{t}{cls(['footer', 'site-footer', 'copyright'], 0.3 if t == 'footer' else 1)}>&copy; {prose(1, 2)}</{t}>")
-        if r.random() < 0.15:  # nothing around it
-            article, top, end = article.replace(body[0], "", 1) if r.random() < 0.5 else article, [], end if r.random() < 0.3 else []
-        pages.append("<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(top) + article + "".join(end) + "</body></html>")
-    return pages
+def unlabelled(nodes: list[Node]) -> tuple[list[Node], np.ndarray]:
+    """Labelled elements without the attribute keep, and which had it."""
+    keep = np.array([bool(KEEP.search(n.attrs)) for n in nodes])
+    bare = [Node(n.tag, n.parent, n.depth, KEEP.sub("", n.attrs), n.parts) for n in nodes]
+    kinds(bare)
+    return bare, keep
+
+
+KEEP = re.compile(r" keep(?=[\s>/]|$)")
 
 
 def fit(pages: list[str]) -> Trees:
-    """Trees from pages whose article elements carry the attribute keep."""
-    xs, ys = [], []
+    """Trees from pages whose article elements carry the attribute keep; an element weighs by its text, as in decoding."""
+    xs, ys, ws = [], [], []
     for page in pages:
-        nodes = parse(page)
-        xs.append(node_features([Node(n.tag, n.parent, n.depth, n.attrs.replace(" keep", ""), n.parts) for n in nodes]))
-        ys.append(np.array([" keep" in n.attrs for n in nodes], float))
-    return boost(np.concatenate(xs), np.concatenate(ys))
+        nodes, keep = unlabelled(parse(page))
+        keep[0] = page.startswith(ROOT)
+        used = np.array([not n.inline and not n.never for n in nodes])
+        own = np.array([_own(nodes, i) for i in range(len(nodes))])
+        xs.append(node_features(nodes)[used])
+        ys.append(keep[used].astype(float))
+        ws.append((0.5 + np.minimum(own, 200) / 100)[used])
+    return boost(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
 
 
 @functools.lru_cache(maxsize=1)
 def default_trees() -> Trees:
-    return fit(training_pages())
+    return fit(labelled_pages(90, 11))
 
 
 # ---- decoding
@@ -381,24 +411,37 @@ def default_trees() -> Trees:
 OUTSIDE, ARTICLE, REMOVED = 0, 1, 2
 
 
+def _own(nodes: list[Node], i: int) -> int:
+    """Characters of an element's own text and of the inline mark-up in it that goes with it."""
+    out, todo = 0, [i]
+    while todo:
+        for p in nodes[todo.pop()].parts:
+            if p.__class__ is str:
+                out += 0 if p.isspace() else len(p)
+            elif nodes[p].inline:
+                todo.append(p)
+    return out
+
+
 def decode(nodes: list[Node], score: np.ndarray) -> list[int]:
     """The states with the highest total log probability that only move forward along every path.
 
     An element weighs by its own text (and a little in itself), so the choice follows what would be
-    kept or lost. Elements that hold no article text by their kind are never in the article.
+    kept or lost. Elements that are never article are removed with all that is in them; inline mark-up
+    that goes with its parent has no weight of its own.
     """
     n = len(nodes)
     yes, no = -np.logaddexp(0, -score), -np.logaddexp(0, score)
     best = [None] * n
     for i in range(n - 1, -1, -1):
         node = nodes[i]
-        own = sum(len(p) for p in node.parts if p.__class__ is str and not p.isspace())
-        w = 1.0 + min(own, 400) / 40
-        if node.tag in NEVER:
-            s = [0.0, -1e9, 0.0]
-        elif i == 0:
-            s = [0.0, -1e9, -1e9]
+        if node.never:
+            best[i] = [0.0, -1e9, 0.0]
+            continue
+        if node.inline:
+            s = [0.0, 0.0, 0.0]
         else:
+            w = 1.0 + min(_own(nodes, i), 400) / 40
             s = [w * no[i], w * yes[i], w * no[i]]
         for p in node.parts:
             if p.__class__ is int:
@@ -408,9 +451,9 @@ def decode(nodes: list[Node], score: np.ndarray) -> list[int]:
                 s[REMOVED] += b[REMOVED]
         best[i] = s
     state = [OUTSIDE] * n
-    for i in range(1, n):
-        up, b = state[nodes[i].parent], best[i]
-        if up == REMOVED:
+    for i in range(n):
+        up, b = state[nodes[i].parent] if i else OUTSIDE, best[i]
+        if up == REMOVED or nodes[i].never:
             state[i] = REMOVED
         elif up == ARTICLE:
             state[i] = ARTICLE if b[ARTICLE] >= b[REMOVED] else REMOVED
@@ -463,11 +506,16 @@ def extract(pages: list[str], trees: Trees) -> list[str]:
         return []
     score = trees.score(np.concatenate([node_features(n) for n in parsed]))
     out, at = [], 0
-    for page, nodes in zip(pages, parsed, strict=True):
+    for nodes in parsed:
         if len(nodes) == 1:
             out.append(SPACE.sub(" ", html.unescape("".join(nodes[0].parts))).strip())
         else:
-            out.append(text_of(nodes, decode(nodes, score[at : at + len(nodes)])))
+            own, raised = score[at : at + len(nodes)], 1.0
+            text = text_of(nodes, decode(nodes, own))
+            if not text and prose_outside(nodes):
+                while not text and raised < 1e4:
+                    text, raised = text_of(nodes, decode(nodes, own + raised)), 2 * raised
+            out.append(text)
         at += len(nodes)
     return out
 
