@@ -144,7 +144,7 @@ def test_contamination(spark, odd_docs, no_docs):
     passage = odd_docs.where("doc_id = 6").first().text.split("\n")[0]
     items = [(1, passage), (2, "x"), (3, None), (4, ""), (5, "no such words here at all, they are nowhere in any of the documents of it"), (6, " ".join(passage.split()[20:33])), (6, " ".join(passage.split()[20:33])), (None, " ".join(passage.split()[40:53])), (7, "É É é"), (8, "own line six")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size in (1 << 24, 200):
+    for size in (1 << 24, 400):
         got = decontaminate.contamination(odd_docs, bench, block_bytes=size).collect()
         assert len(got) == odd_docs.count()
         for r in got:
@@ -157,6 +157,21 @@ def test_contamination(spark, odd_docs, no_docs):
     assert {r.doc_id for r in flagged if r.contaminated} >= {6, 7, 9, 11, 13} and not any(r.contaminated for r in flagged if r.doc_id in (1, 2, 3, 12))
 
 
+def test_long_items_are_cut(spark, monkeypatch):
+    """Pieces of an item hold all of its windows."""
+    r = random.Random(8)
+    words = [f"w{r.randrange(200)}" for _ in range(400)]
+    items = [(1, " ".join(words)), (2, " ".join(words[:12])), (3, " ".join(words[100:113])), (4, " ".join(words[30:45]))]
+    texts = [(i, " ".join(words[a : a + n])) for i, (a, n) in enumerate([(0, 400), (20, 13), (21, 12), (37, 30), (387, 13), (25, 25), (0, 12)])]
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 30)
+    pieces = decontaminate._pieces(spark.createDataFrame(items, "item_id long, text string"), 13, "item_id", "text").collect()
+    assert max(len(p.words.split()) for p in pieces) <= 30 and len(pieces) > 20
+    for size, together in ((1 << 20, 2), (300, 3)):
+        got = decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=size, together=together).collect()
+        for x in got:
+            assert (x.n_words, sum(s["to"] - s["from"] for s in x.spans), set(x["items"])) == brute_contamination(x.text, items)
+
+
 def test_contamination_of_repetitive_texts(spark):
     items = [(i, " ".join(["a"] * n + ["b"] * m)) for i, (n, m) in enumerate([(13, 0), (20, 3), (5, 9), (2, 0)])]
     texts = [(i, " ".join(["a"] * n + ["b"] * m + ["a"] * k)) for i, (n, m, k) in enumerate([(40, 0, 0), (30, 9, 30), (12, 9, 1), (1, 1, 1), (300, 3, 0)])]
