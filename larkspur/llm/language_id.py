@@ -2,13 +2,15 @@
 
 One model a language over lower-cased words (a run of letters between two boundary signs), orders 1
 to 5: raw counts at the highest order, continuation counts below, one absolute discount an order,
-interpolated down to a uniform floor. N-grams are 64-bit hashes in one sorted array an order, with a
-row of log probabilities and log back-off weights for all languages, so one search serves them all.
-The language with the lowest cross-entropy a character wins.
+interpolated down to a uniform floor. N-grams are 64-bit hashes in one sorted array an order; each has a
+list of the languages that know it, with log probability and log back-off weight, so one search serves all
+languages and the arrays grow with the n-grams, not with their product with the languages. The language
+with the lowest cross-entropy a character wins.
 
 Rejection: a text is rejected when its best cross-entropy exceeds what that language's calibration
-documents (a quarter of the training sample, not counted) show: mean + `slack` + `z` * deviation of
-one character / sqrt(characters). Short texts thus need stronger evidence.
+documents (a quarter of the training sample, not counted) show: mean + `z` * sqrt(between + within / signs), where
+`mean` is the documents' median, `within` the variance of a sign and `between` that of documents' cross-entropies
+beyond what their lengths explain, from a quantile. Short texts thus need stronger evidence.
 
 Training takes at most `per_lang` documents a language (one from each of that many hash buckets), so
 its cost doesn't grow with the table; everything else reads all rows and whole texts.
@@ -39,6 +41,8 @@ FLOOR = 1.0 / 4096
 WORDS = re.compile(r"[^\W\d_]+")
 MAX_LANGUAGES = 1000
 CACHE_WORDS = 300_000
+#: Nats a sign: documents of one language differ by at least so much, however alike the calibration documents are (lines in another language, names, lists).
+LEAST_SPREAD = 0.16
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
@@ -120,49 +124,63 @@ class LanguageModels:
 
     langs: list[str]
     keys: list[np.ndarray]
+    first: list[np.ndarray]  # of key i the entries first[i] to first[i + 1]
+    lang: list[np.ndarray]
     logp: list[np.ndarray]
     gamma: list[np.ndarray]
     unseen: np.ndarray
     mean: np.ndarray
-    sd: np.ndarray
-    slack: float = 1.5
-    z: float = 6.0
+    between: np.ndarray
+    within: np.ndarray
+    z: float = 9.0
 
     @classmethod
     def combine(cls, langs: list[str], models: list[Model]) -> LanguageModels:
-        keys, logp, gamma = [], [], []
+        keys, first, lang, logp, gamma = [], [], [], [], []
         for n in range(ORDER if models else 0):
-            all_keys = np.unique(np.concatenate([m.keys[n] for m in models]))
-            p = np.full((len(all_keys), len(models)), np.nan, np.float32)
-            b = np.zeros((len(all_keys), len(models)), np.float32)
-            for j, m in enumerate(models):
-                slot = np.searchsorted(all_keys, m.keys[n])
-                p[slot, j], b[slot, j] = m.logp[n], m.gamma[n]
-            keys.append(all_keys)
-            logp.append(p)
-            gamma.append(b)
+            every = np.concatenate([m.keys[n] for m in models])
+            of = np.repeat(np.arange(len(models), dtype=np.int16), [len(m.keys[n]) for m in models])
+            by = np.argsort(every, kind="stable")
+            uniq, at = np.unique(every[by], return_index=True)
+            keys.append(uniq)
+            first.append(np.append(at, len(by)).astype(np.int32))
+            lang.append(of[by])
+            logp.append(np.concatenate([m.logp[n] for m in models])[by].astype(np.float32))
+            gamma.append(np.concatenate([m.gamma[n] for m in models])[by].astype(np.float32))
         n = len(models)
-        return cls(langs, keys, logp, gamma, np.array([m.unseen for m in models], np.float32), np.zeros(n), np.ones(n))
+        return cls(langs, keys, first, lang, logp, gamma, np.array([m.unseen for m in models], np.float32), np.zeros(n), np.zeros(n), np.ones(n))
+
+    def _entries(self, n: int, slot: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For places whose n-gram is known: where each of its entries goes in a table of places by languages, and the entries."""
+        at = np.flatnonzero(hit)
+        low = self.first[n][slot[at]].astype(np.int64)
+        many = self.first[n][slot[at] + 1] - low
+        entry = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum())) if len(at) else low
+        return np.repeat(at * len(self.langs), many) + self.lang[n][entry], entry
 
     def signs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each predicted sign under each language, and each word's number of signs."""
         a, at = _flat(words)
         g = _grams(a)
-        out, before = None, None
+        shape = len(at), len(self.langs)
+        out, before = np.broadcast_to(self.unseen, shape).copy(), None
         for n in range(ORDER):
             slot = np.minimum(np.searchsorted(self.keys[n], g[n]), len(self.keys[n]) - 1)
             hit = self.keys[n][slot] == g[n]
-            p = self.logp[n][slot[at]]
-            seen = hit[at][:, None] & ~np.isnan(p)
-            if n == 0:
-                out = np.where(seen, p, self.unseen)
-            else:
-                prior, was = before
-                back = np.where(was[at - 1][:, None], self.gamma[n - 1][prior[at - 1]], 0)
-                out = np.where(seen, p, back + out)
+            if n:  # what the shorter n-gram gives, times the weight of its context
+                to, entry = self._entries(n - 1, before[0][at - 1], before[1][at - 1])
+                out.ravel()[to] += self.gamma[n - 1][entry]
+            to, entry = self._entries(n, slot[at], hit[at])
+            p = self.logp[n][entry]
+            some = ~np.isnan(p)
+            out.ravel()[to[some]] = p[some]
             before = slot, hit
         return out, np.fromiter((len(w) + 1 for w in words), np.int64)
 
+    def limit(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The highest cross-entropy that n signs of a language may have."""
+        return self.mean[lang] + self.z * np.sqrt(self.between[lang] + self.within[lang] / np.maximum(n, 1))
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Rows of log probability by language, then the number of signs."""
         p, sizes = self.signs(words)
@@ -186,7 +204,7 @@ class Identifier:
         at = 0
         while at < len(words):  # by signs, so that one very long word is no reason for large arrays beside it
             end, size = at, 0
-            while end < len(words) and (end == at or size + len(words[end]) + ORDER < 200_000):
+            while end < len(words) and (end == at or (size + len(words[end]) + ORDER) * len(self.m.langs) < 1_000_000):
                 size += len(words[end]) + ORDER
                 end += 1
             scores[at:end] = self.m.word_scores(words[at:end])
@@ -235,7 +253,7 @@ class Identifier:
         best = ce.argmin(axis=1)
         low = ce[np.arange(len(best)), best]
         post = 1 / np.exp(np.maximum((low[:, None] - ce) * n[:, None], -700)).sum(axis=1)
-        over = low > self.m.mean[best] + self.m.slack + self.m.z * self.m.sd[best] / np.sqrt(np.maximum(n, 1))
+        over = low > self.m.limit(best, n)
         return (
             [self.m.langs[b] if s else "und" for b, s in zip(best, some, strict=True)],
             np.where(some, post, 0).clip(0, 1).tolist(),
@@ -261,15 +279,22 @@ def _fit_one(sample: pa.Table) -> pa.Table:
         return schema.empty_table()
     model = train(words)
     one = LanguageModels.combine(["x"], [model])
-    ces, sds = [], []
+    ces, sizes, sds = [], [], []
     for t, h in zip(texts, held, strict=True):
         if (h or not held.any()) and (w := [w for w in WORDS.findall(t.lower()) if any(map(str.isalpha, w))]):
             p, _ = one.signs(w)
             ces.append(-float(p.mean()))
-            sds.append(float(p.std()))
+            sizes.append(len(p))
+            sds.append(float(p.var()))
+    ce, size = np.array(ces), np.array(sizes, float)
+    within = max(float(np.mean(sds)), 0.01)
+    # quantiles, so that a few mislabelled or mixed documents don't widen the limit: four fifths of a normal law lie within 1.2816 deviations
+    mean = float(np.median(ce))
+    spread = float(np.quantile(np.abs(ce - mean), 0.8)) / 1.2816
+    between = max(spread**2 - within * float(np.mean(1 / size)), 0.0) + LEAST_SPREAD**2
     buf = io.BytesIO()
     arrays = {f"{kind}{n}": getattr(model, kind)[n] for kind in ("keys", "logp", "gamma") for n in range(ORDER)}
-    np.savez(buf, unseen=model.unseen, mean=np.mean(ces), sd=max(np.mean(sds), 0.1), **arrays)
+    np.savez(buf, unseen=model.unseen, mean=mean, between=between, within=within, **arrays)
     return pa.table([[sample.column("lang")[0].as_py()], [buf.getvalue()]], schema=schema)
 
 
@@ -288,15 +313,14 @@ def train_language_models(docs: DataFrame, per_lang: int = 256, lang_col: str =
     # at most MAX_LANGUAGES * per_lang short rows
     sample = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "text", (F.col("bucket") % 4 == 0).alias("calibrate"))
     found = sample.groupBy("lang").applyInArrow(_fit_one, "lang string, model binary").orderBy("lang").collect()
-    langs, models, mean, sd = [], [], [], []
+    langs, models, limits = [], [], []
     for row in found:
         z = np.load(io.BytesIO(row.model))
         models.append(Model(*([z[f"{kind}{n}"] for n in range(ORDER)] for kind in ("keys", "logp", "gamma")), float(z["unseen"])))
         langs.append(row.lang)
-        mean.append(float(z["mean"]))
-        sd.append(float(z["sd"]))
+        limits.append([float(z[k]) for k in ("mean", "between", "within")])
     out = LanguageModels.combine(langs, models)
-    out.mean, out.sd = np.array(mean), np.array(sd)
+    out.mean, out.between, out.within = np.array(limits).reshape(-1, 3).T
     return out
 
 

@@ -26,6 +26,72 @@ def test_kneser_ney_is_a_distribution():
     assert m.signs(["zzz"])[0][0, 0] < -6
 
 
+def plain_kneser_ney(words: Counter):
+    """By definition, with dictionaries: log probabilities of the signs of a word."""
+    order, begin, end = language_id.ORDER, "\x01", "\x02"
+    grams = [Counter() for _ in range(order + 1)]  # at the highest order times, below different signs before
+    places = {w: (begin * (order - 1) + w + end) for w in words}
+    seen = [set() for _ in range(order + 2)]
+    for w, n in words.items():
+        t = places[w]
+        for i in range(order - 1, len(t)):
+            grams[order][t[i - order + 1 : i + 1]] += n
+            for k in range(1, order):
+                if t[i - k : i + 1] not in seen[k]:
+                    seen[k].add(t[i - k : i + 1])
+                    grams[k][t[i - k + 1 : i + 1]] += 1
+    discount, total, kinds = [0.0], [{}], [{}]
+    for k in range(1, order + 1):
+        ones, twos = (sum(c == x for c in grams[k].values()) for x in (1, 2))
+        discount.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+        total.append(Counter())
+        kinds.append(Counter())
+        for g, c in grams[k].items():
+            total[k][g[:-1]] += c
+            kinds[k][g[:-1]] += 1
+
+    def p(context: str, sign: str, k: int) -> float:
+        if k == 0:
+            return language_id.FLOOR
+        context = context[len(context) - k + 1 :]
+        low = p(context[1:], sign, k - 1)
+        if not total[k][context]:
+            return low
+        return max(grams[k][context + sign] - discount[k], 0) / total[k][context] + discount[k] * kinds[k][context] / total[k][context] * low
+
+    def signs(w: str) -> list[float]:
+        t = begin * (order - 1) + w + end
+        return [float(np.log(p(t[i - order + 1 : i], t[i], order))) for i in range(order - 1, len(t))]
+
+    return signs
+
+
+def test_models_are_kneser_ney():
+    """Two languages in the common arrays against the plain definition, seen and unseen words."""
+    r = random.Random(2)
+    made = [Counter("".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(300)) for letters in ("abcde", "cdefgé")]
+    m = language_id.LanguageModels.combine(["p", "q"], [language_id.train(dict(w)) for w in made])
+    plain = [plain_kneser_ney(w) for w in made]
+    for word in [*list(made[0])[:40], *list(made[1])[:40], "zzz", "abcdefg", "a", "éé", "ccccccccc"]:
+        got = m.signs([word])[0]
+        for j in range(2):
+            assert np.allclose(got[:, j], plain[j](word), atol=1e-4), (word, j)
+
+
+def test_languages_that_were_not_learned(spark, data):
+    """Each language of the table left out of training; and other ones in Latin script."""
+    docs = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet").where("length(text) >= 1000")
+    langs = [r.lang for r in docs.select("lang").distinct().where("lang is not null").collect()]
+    for lang in langs:
+        models = language_id.train_language_models(docs.where(F.col("lang") != lang))
+        own = language_id.identify(docs.where(F.col("lang") == lang), models)
+        n, gone = own.count(), own.where("rejected").count()
+        assert n >= 20 and gone >= 0.9 * n, (lang, n, gone)
+    other = ["Questo è un testo italiano che parla di molte cose, e la sua lingua non è stata imparata dal modello.", "To jest polski tekst, który mówi o wielu rzeczach i jego język nie został nauczony."]
+    found = language_id.identify(spark.createDataFrame([(i, t) for i, t in enumerate(other)], "doc_id long, text string"), language_id.train_language_models(docs))
+    assert found.where("rejected").count() == 2
+
+
 def test_held_out_accuracy(spark, docs, data):
     rows = QUERIES["op7_language_id"](spark, data).join(docs.select("doc_id", "lang"), "doc_id")
     held = rows.where("held_out")
