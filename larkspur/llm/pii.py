@@ -11,6 +11,9 @@ decoded by Viterbi, many lines at a time in numpy. It adds spans that no base sp
 The labelled table has at most MAX_ROWS rows; `labelled_rows` writes one from a rule. Everything else
 reads all documents, whole.
 
+Plain sums, hashes and UUIDs are no secrets unless a key word stands before them. A very long line is decoded in
+pieces, cut only after tokens that are outside of any span on every best path, which changes no label.
+
 Defined results: a null or empty text has no spans; repeated rows give equal results; extra columns
 are ignored; an empty table gives an empty table; a null doc_id stays null. Offsets are code points.
 """
@@ -83,14 +86,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- features
 
 RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^\x00-\x7F]+|(.)\1*", re.S)
-KEYWORDS = frozenset("token key secret password passwd pwd apikey api_key api-key access_key auth bearer credential".split())
+KEYWORDS = frozenset("token key secret password passwd pwd apikey api_key api-key access_key auth bearer credential credentials client_secret access_token auth_token private_key secret_key".split())
+#: words before or in front of sums, which are no secrets
+SUMS = frozenset("commit revision rev hash md5 sha1 sha256 sha-256 sha512 checksum digest etag uuid guid id build sum fingerprint blob tree parent version".split())
+UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+THREE = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+KNOWN = re.compile(r"(AKIA|ASIA|sk-|sk_live_|pk_live_|gh[pousr]_|xox[abpr]-|glpat-|AIza|ya29\.)[A-Za-z0-9_-]{10,}")
 HEX = re.compile(r"[0-9a-fA-F]{16,}")
 MIXED = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 
 
+ALNUM = re.compile(r"[A-Za-z0-9]{8,}")
+
+
+def _mixed(m: re.Match) -> str:
+    x = m[0]
+    return x if x.isdigit() or x.isalpha() else "\0"
+
+
 def shape(token: str) -> str:
+    """Runs of capitals, small letters and digits; long runs of letters and digits together are one sign."""
     out = []
-    for m in RUNS.finditer(token):
+    for m in RUNS.finditer(ALNUM.sub(_mixed, token)):
         x = m[0]
         c = x[0]
         if c.isascii() and c.isdigit():
@@ -113,13 +130,15 @@ def features(token: str) -> tuple[str, ...]:
     core = token.strip("\"'.,;:!?()[]{}<>#$%&*|")
     if core.isalpha() and len(core) < 16:
         kind = "x" if core.islower() else "X" if core.isupper() else "Xx"
-        word = ("word",) if core.lower() not in KEYWORDS else ("keyword",)
+        word = ("keyword",) if core.lower() in KEYWORDS else ("sum",) if core.lower() in SUMS else ("word",)
         return (*word, f"s={kind}", f"end={token[-1] if not token[-1].isalpha() else ''}")
     out = [f"s={shape(core)}", f"len={min(len(core) // 4, 8)}"]
     low = core.lower()
     parts = re.split(r"[=:]", low)
     if any(p.strip("\"'") in KEYWORDS for p in parts[:-1]) or low in KEYWORDS:
-        out.append("keyword")
+        out.append("keyvalue" if len(parts[-1]) >= 8 else "keyword")
+    if any(p.strip("\"'-") in SUMS for p in parts[:-1]) or low in SUMS:
+        out.append("sum")
     if "=" in token or token.endswith(":"):
         out.append("assign")
     letters, digits = any(map(str.isalpha, core)), sum(c in string.digits for c in core)
@@ -130,10 +149,19 @@ def features(token: str) -> tuple[str, ...]:
             out.append("luhn" if luhn(flat) else "noluhn")
         if core.count(".") == 3 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in core.split(".")):
             out.append("quad")
-    if "@" in core:
+    if "@" not in core:
+        out.append("noat")
+    else:
         out.append("at" if "." in core.rpartition("@")[2] else "at-nodot")
     last = parts[-1].strip("\"'")
-    if HEX.fullmatch(last) and re.search("[0-9]", last):
+    whole = re.sub(r"^[\w.-]+[=:][\"']?", "", core)
+    if UUID.fullmatch(last):
+        out.append("uuid")
+    elif KNOWN.fullmatch(whole):
+        out.append("known")
+    elif THREE.fullmatch(whole) and re.search("[0-9]", whole) and re.search("[A-Z]", whole):
+        out.append("three")
+    elif HEX.fullmatch(last) and re.search("[0-9]", last):
         out.append("hex")
     elif MIXED.fullmatch(last) and re.search("[0-9]", last) and re.search("[a-z]", last):
         out.append("mixed")
@@ -147,7 +175,7 @@ def features(token: str) -> tuple[str, ...]:
 # ---- labelled table
 
 
-def labelled_rows(n: int = 1200, seed: int = 7) -> list[tuple[int, list[str], list[str]]]:
+def labelled_rows(n: int = 1600, seed: int = 7) -> list[tuple[int, list[str], list[str]]]:
     """A small labelled table made from a rule: (id, tokens, labels)."""
     r = random.Random(seed)
     syllables = "an the re in on er ti es or st en ha ou de la des que und sch heit mente ción ée ung tion ä ß ñ".split()
@@ -171,12 +199,32 @@ def labelled_rows(n: int = 1200, seed: int = 7) -> list[tuple[int, list[str], li
     def phone() -> list[str]:
         return r.choice((f"+{d(r.randint(1, 2))} ({d(3)}) {d(3)}-{d(4)}", f"+{d(1)}-{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}")).split(" ")
 
+    def uuid() -> str:
+        h = "".join(r.choice("0123456789abcdef") for _ in range(32))
+        return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+
+    def sums() -> list[str]:
+        """Sums and names that look like secrets and are none."""
+        h = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 40, 64))))
+        word_ = r.choice(("commit", "revision", "hash", "md5", "sha1", "checksum", "digest", "tree", "parent", "Commit", "build"))
+        return r.choice((lambda: [word_, h], lambda: [f"{word_}:", h], lambda: [f"sha256:{h}"], lambda: [f"{word_}={h}"], lambda: [uuid()], lambda: ["id", uuid()], lambda: ["uuid:", uuid()], lambda: [h], lambda: [f"({h[:7]})"], lambda: [h[:12]]))()
+
     def secret() -> tuple[list[str], list[str]]:
-        body = r.choice((lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64)))), lambda: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(20, 44))), lambda: "AKIA" + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(16)), lambda: "sk-" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(32))))()
-        key = r.choice(("token", "key", "secret", "password", "api_key", "apikey", "auth"))
+        hexa = lambda: r.choice((str.lower, str.lower, str.upper))("".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 40, 64)))))
+        part = lambda a, b: "".join(r.choice(string.ascii_letters + string.digits + "_-") for _ in range(r.randint(a, b)))
+        three = lambda: f"eyJ{part(14, 30)}.eyJ{part(20, 60)}.{part(30, 44)}"
+        known = lambda: r.choice(("ghp_", "xoxb-", "AIza", "glpat-", "sk_live_")) + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(20, 36)))
+        named = r.random() < 0.75  # a sum, a plain hexadecimal number or a UUID is a secret only after a key word
+        make = r.choice((hexa, hexa, uuid, three, known)) if named and r.random() < 0.7 else r.choice((three, known)) if r.random() < 0.5 else None
+        body = make() if make else r.choice((lambda: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(20, 44))), lambda: "AKIA" + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(16)), lambda: "sk-" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(32))))()
+        if r.random() < 0.1 and not make:
+            body += "="
+        key = r.choice(("token", "key", "secret", "password", "api_key", "apikey", "auth", "TOKEN", "API_KEY", "Password", "access_token", "client_secret"))
         q = r.choice(('"', '"', "'", ""))
         v = f"{q}{body}{q}"
-        return r.choice((([key, "=", v], ["O", "O", "B-secret"]), ([f"{key}:", v], ["O", "B-secret"]), ([f"{key}={v}"], ["B-secret"]), ([body], ["B-secret"])))
+        if not named:
+            return [body], ["B-secret"]
+        return r.choice((([key, "=", v], ["O", "O", "B-secret"]), ([f"{key}:", v], ["O", "B-secret"]), ([f"{key}={v}"], ["B-secret"])))
 
     def noise() -> list[str]:
         return r.choice(
@@ -212,7 +260,7 @@ def labelled_rows(n: int = 1200, seed: int = 7) -> list[tuple[int, list[str], li
             if x < 0.45:
                 t, l = one(r.choice(KINDS))
             elif x < 0.8:
-                t = noise()
+                t = sums() if r.random() < 0.25 else noise()
                 l = ["O"] * len(t)
             else:
                 continue
@@ -263,7 +311,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
-def train(rows: list[tuple[int, list[str], list[str]]], steps: int = 50, l2: float = 0.02) -> Field:
+def train(rows: list[tuple[int, list[str], list[str]]], steps: int = 60, l2: float = 0.02) -> Field:
     """Maximum likelihood by full-batch Adam with forward-backward over padded rows."""
     if len(rows) > MAX_ROWS:
         raise ValueError(f"the labelled table has more than {MAX_ROWS} rows")
@@ -321,6 +369,25 @@ def train(rows: list[tuple[int, list[str], list[str]]], steps: int = 50, l2: flo
     return Field(names, w.astype(np.float32), (trans + hard).astype(np.float32), (start + hard_start).astype(np.float32))
 
 
+PIECE = 128
+
+
+def _lead(field: Field) -> float:
+    """The most that a path can lose by transitions when a token's label becomes O, and an I- label after it the B- of its kind."""
+    step, n = field.trans, len(LABELS)
+    fresh = [j - 1 if LABELS[j][0] == "I" else j for j in range(n)]
+    most = 0.0
+    for before in [*step, field.start]:
+        enter = before[1:] - before[0]
+        for l in np.flatnonzero(before[1:] > -1e3).tolist():
+            for b in range(n):
+                if step[l + 1, b] > -1e3:
+                    on = step[b] > -1e3
+                    after = max(0.0, float((step[b][on] - step[fresh[b]][on]).max())) if fresh[b] != b else 0.0
+                    most = max(most, float(enter[l]) + float(step[l + 1, b] - step[0, fresh[b]]) + after)
+    return most
+
+
 class Decoder:
     """Viterbi over many lines; keeps the scores of tokens it has met, by what their features add up to."""
 
@@ -329,6 +396,7 @@ class Decoder:
         self.at: dict[str, int] = {}
         self.kinds: dict[tuple, int] = {}
         self.scores = np.zeros((0, 3, len(LABELS)), np.float32)
+        self.lead = _lead(field)
 
     def learn(self, tokens) -> None:
         new = []
@@ -342,6 +410,32 @@ class Decoder:
         if new:
             self.scores = np.concatenate([self.scores, self.field.rows(new)])
 
+    def pieces(self, e: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and size of the pieces that lines are decoded in, and whether a line begins there.
+
+        A long line is cut after tokens that are O on every best path: where O's lead is larger than all that
+        transitions and a fresh start of the next token's label could make up for. e loses their other labels.
+        """
+        sizes = np.diff(starts)
+        begin, size, first = [starts[:-1]], [sizes], [np.ones(len(sizes), bool)]
+        for i in np.flatnonzero(sizes > 2 * PIECE).tolist():
+            a, b = int(starts[i]), int(starts[i + 1])
+            own = e[a:b]
+            fresh = np.maximum((own[1:, 2::2] - own[1:, 1::2]).max(axis=1), 0)
+            sure = np.flatnonzero(own[:-1, 0] - own[:-1, 1:].max(axis=1) > self.lead + fresh) + 1
+            cuts, at = [], 0
+            while (j := int(np.searchsorted(sure, at + PIECE))) < len(sure):
+                at = int(sure[j])
+                cuts.append(at)
+            if cuts:
+                own[np.array(cuts) - 1, 1:] = -1e6
+                edges = np.array([0, *cuts, b - a])
+                size[0][i] = edges[1]
+                begin.append(a + edges[1:-1])
+                size.append(np.diff(edges)[1:])
+                first.append(np.zeros(len(cuts), bool))
+        return np.concatenate(begin), np.concatenate(size), np.concatenate(first)
+
     def labels(self, lines: list[list[str]]) -> list[np.ndarray]:
         """The best label numbers of each line's tokens."""
         flat = [t for line in lines for t in line]
@@ -359,8 +453,9 @@ class Decoder:
         if len(ids):
             e[1:] += self.scores[ids[:-1], 0] * joined[:, None]
             e[:-1] += self.scores[ids[1:], 2] * joined[:, None]
-        order = np.argsort(-sizes, kind="stable")
-        begin, size = starts[:-1][order], sizes[order]
+        begin, size, first = self.pieces(e, starts)
+        order = np.argsort(-size, kind="stable")
+        begin, size, first = begin[order], size[order], first[order]
         trans, L = self.field.trans, len(LABELS)
         alive = int((size > 0).sum())
         best = np.zeros(len(ids), np.int8)
@@ -369,7 +464,7 @@ class Decoder:
         back = np.zeros((len(ids), L), np.int8)
         longest = int(size[0])
         counts = np.searchsorted(-size, -np.arange(longest), side="left")  # lines longer than t
-        score = self.field.start + e[begin[:alive]]
+        score = np.where(first[:alive, None], self.field.start, trans[0]) + e[begin[:alive]]
         final = np.zeros((alive, L), np.float32)
         for t in range(1, longest):
             n = int(counts[t])
@@ -392,6 +487,8 @@ class Decoder:
 
 TOKEN = re.compile(r"\S+")
 EDGE = "\"'.,;:!?()[]{}<>#$%&*|="
+#: a name before a secret in the same token
+LEAD = re.compile(r"[\"'({\[<]*[A-Za-z][\w.-]*[\"']?[=:](?=[^=])")
 
 
 def field_spans(lines: list[str], labels: list[np.ndarray]) -> list[tuple[str, int, int]]:
@@ -409,11 +506,13 @@ def field_spans(lines: list[str], labels: list[np.ndarray]) -> list[tuple[str, i
                         j += 1
                     a, b = places[i][0], places[j - 1][1]
                     if name == "B-secret":  # the value after a key word
-                        a += max(line[a:b].rfind("="), line[a:b].rfind(":")) + 1 if re.match(r"[\w-]+[=:]", line[a:b].lstrip(EDGE)) and not line[a:b].endswith("=") else 0
+                        if lead := LEAD.match(line, a, b):
+                            a = lead.end()
                     edge = EDGE.replace("(", "") if name == "B-phone" else EDGE
                     while a < b and line[a] in edge:
                         a += 1
-                    while a < b and line[b - 1] in EDGE:
+                    tail = EDGE.replace("=", "") if name == "B-secret" else EDGE  # which may end in padding
+                    while a < b and line[b - 1] in tail:
                         b -= 1
                     if a < b:
                         out.append((name[2:], offset + a, offset + b))
