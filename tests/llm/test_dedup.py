@@ -12,12 +12,12 @@ from larkspur.llm import line_dedup, simhash
 from larkspur.llm.queries import QUERIES
 
 
-def brute_fingerprint(t):
+def brute_fingerprint(t, k=4):
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
     if not w:
         return 0
-    grams = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)]
+    grams = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)]
     hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
@@ -270,7 +270,7 @@ def test_pipeline(spark, docs, data):
             assert set(before) - set(after) == {k for k, v in gone.items() if v and all(v)}
         elif name == "near_duplicates":
             ids = sorted(before)
-            assert {ids[i] for i in brute_classes([brute_fingerprint(before[i]) for i in ids])} == set(after)
+            assert {ids[i] for i in brute_classes([brute_fingerprint(before[i], 5) for i in ids])} == set(after)
         elif name == "decontamination":
             from test_text import brute_contamination
 
