@@ -1,9 +1,11 @@
-"""The engine: one session's tables, queries, raw SQL and monitors."""
+"""The engine: one session's tables, queries, raw SQL, monitors and typed settings."""
 
 from __future__ import annotations
 
+import struct
 import time
 from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
@@ -67,3 +69,55 @@ def setting(spark: SparkSession, name: str, kind: type, default):
         return text.strip().lower() in ("true", "1") if kind is bool else kind(text)
     except ValueError:
         return default
+
+
+class Context:
+    """Typed values of one request. A getter gives the type's zero where the key is missing or holds another type."""
+
+    RANGES = {"int": (-(2**63), 2**63 - 1), "int32": (-(2**31), 2**31 - 1), "int64": (-(2**63), 2**63 - 1), "uint": (0, 2**64 - 1), "uint32": (0, 2**32 - 1), "uint64": (0, 2**64 - 1)}
+
+    def __init__(self, values: Mapping[str, object]):
+        self.values = dict(values)
+
+    def whole(self, key: str, kind: str = "int") -> int | None:
+        """A number that fits the kind, else None."""
+        v, (low, high) = self.values.get(key), self.RANGES[kind]
+        return v if type(v) is int and low <= v <= high else None
+
+    def int(self, key: str) -> int:
+        return self.whole(key) or 0
+
+    def uint(self, key: str) -> int:
+        return self.whole(key, "uint") or 0
+
+    def int32(self, key: str) -> int:
+        return self.whole(key, "int32") or 0
+
+    def uint32(self, key: str) -> int:
+        return self.whole(key, "uint32") or 0
+
+    def int64(self, key: str) -> int:
+        return self.whole(key, "int64") or 0
+
+    def uint64(self, key: str) -> int:
+        return self.whole(key, "uint64") or 0
+
+    def float64(self, key: str) -> float:
+        v = self.values.get(key)
+        return v if type(v) is float else 0.0
+
+    def float32(self, key: str) -> float:
+        """To the nearest single-precision number."""
+        return struct.unpack("f", struct.pack("f", self.float64(key)))[0]
+
+    def string(self, key: str) -> str:
+        v = self.values.get(key)
+        return v if type(v) is str else ""
+
+    def time(self, key: str) -> datetime:
+        """1970 where there is none."""
+        v = self.values.get(key)
+        return v if isinstance(v, datetime) else datetime.fromtimestamp(0, timezone.utc)
+
+    def bool(self, key: str) -> bool:
+        return self.values.get(key) is True

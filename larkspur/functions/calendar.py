@@ -62,3 +62,14 @@ def format_cst(ts: Column, layout: str) -> Column:
     """A timestamp in UTC+8, whatever the session's zone."""
     wall = F.from_utc_timestamp(F.to_utc_timestamp(ts, F.current_timezone()), ZONE)
     return F.date_format(wall, LAYOUTS.get(layout, layout))
+
+
+def utc_micros(c: Column) -> Column:
+    """Microseconds since 1970 of a zone-less time that is read as UTC, by arithmetic, whatever the session's zone."""
+    seconds = F.unix_date(c.cast("date")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECONDS"), c) * 1_000_000).cast("long")
+
+
+def utc(c: Column) -> Column:
+    """A zone-less time read as UTC."""
+    return F.timestamp_micros(utc_micros(c))

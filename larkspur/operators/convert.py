@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.calendar import utc_micros
+
 
 def _clean(name: str) -> str:
     return name.replace("_", "").lower()
@@ -58,8 +60,8 @@ def to_transfer(df: DataFrame, defaults: Mapping[str, object] | None = None, tim
         c = F.col(f"`{f.name}`")
         if f.name in times:
             # a zone-less time is read as UTC
-            utc = c if isinstance(f.dataType, T.TimestampType) else F.to_timestamp_ltz(F.concat(c.cast("string"), F.lit("Z")))
-            c = F.coalesce(F.unix_micros(utc) * 1000, F.lit(0).cast("long"))
+            micros = F.unix_micros(c) if isinstance(f.dataType, T.TimestampType) else utc_micros(c)
+            c = F.coalesce(micros * 1000, F.lit(0).cast("long"))
         elif f.name in csv_ids:
             c = F.coalesce(ids_from_csv(c), F.expr("cast(array() as array<bigint>)"))
         elif f.name in nested_ids:

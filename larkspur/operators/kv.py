@@ -39,18 +39,22 @@ def upper_bound(prefix: bytes) -> bytes | None:
     return bare[:-1] + bytes([bare[-1] + 1]) if bare else None
 
 
-def scan(df: DataFrame, start: bytes | None = None, end: bytes | None = None, reverse: bool = False, most: int = 0) -> DataFrame:
-    """Keys from start (included) to end (not), in order. Bounds are range filters that reach the scan; a limit makes it a top-n."""
+def scan(df: DataFrame, start: bytes | None = None, end: bytes | None = None, reverse: bool = False, most: int = 0, ordered: bool = True) -> DataFrame:
+    """Keys from start (included) to end (not), in order. Bounds are range filters that reach the scan; a limit makes it a top-n.
+
+    A caller that takes all keys in any order says ordered=False and is spared the sort.
+    """
     if start is not None:
         df = df.filter(F.col("key") >= F.lit(bytearray(start)))
     if end is not None:
         df = df.filter(F.col("key") < F.lit(bytearray(end)))
-    df = df.orderBy(F.col("key").desc() if reverse else F.col("key").asc())
+    if ordered or most > 0:
+        df = df.orderBy(F.col("key").desc() if reverse else F.col("key").asc())
     return df.limit(most) if most > 0 else df
 
 
-def scan_prefix(df: DataFrame, prefix: bytes, reverse: bool = False, most: int = 0) -> DataFrame:
-    return scan(df, prefix, upper_bound(prefix), reverse, most)
+def scan_prefix(df: DataFrame, prefix: bytes, reverse: bool = False, most: int = 0, ordered: bool = True) -> DataFrame:
+    return scan(df, prefix, upper_bound(prefix), reverse, most, ordered)
 
 
 def each(rows: DataFrame, handler: Callable[[bytes, bytes], bool]) -> int:

@@ -41,6 +41,19 @@ def statement_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("sql").agg(F.count("*").alias("n"))
 
 
+def count_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A handler that writes each batch's counts by statement in a folder of its own, so that a repeated batch counts once."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        statement_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return handle
+
+
+def batch_counts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("sql string, n long, batch long").parquet(path).groupBy("sql").agg(F.sum("n").alias("n"))
+
+
 def _last_value(ttl_ms: int):
     def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

@@ -8,11 +8,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.engine import Engine, setting
-from larkspur.functions import calendar, codec, crypto, ids, sequence, strings
+from larkspur import queries
+from larkspur.engine import Context, Engine, setting
+from larkspur.functions import cache, calendar, codec, crypto, ids, sequence, strings
 from larkspur.operators import buckets, convert, dml, kv, select, sharding
 from larkspur.operators.monitor import Monitors
-from larkspur.operators.predicates import QueryError, conjunction, predicate
+from larkspur.operators.predicates import QueryError, conjunction, predicate, where
 from larkspur.plans import params as P
 from larkspur.plans.ir import Condition, Field, Join, Order, Page, Query, RangeType, TimeRange, Update, Value, ValueType
 from larkspur.sources import files, jdbc, sqlite
@@ -239,6 +240,132 @@ def test_snapshots(spark, tmp_path):
     assert s.read().count() == 6
 
 
+def test_snapshots_refuse_lost_updates(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    a, b = dml.Snapshots(spark, path), dml.Snapshots(spark, path)
+    a.write(spark.range(3))
+    with pytest.raises(QueryError, match="newest"), a.transaction():
+        a.write(a.read().where("id > 0"))
+        b.write(b.read().union(spark.range(10, 11)))  # another writer is faster
+    assert sorted(r.id for r in a.read().collect()) == [0, 1, 2, 10] and a.number() == 2
+    with pytest.raises(QueryError, match="newest"):
+        a.write(spark.range(1), base=1)
+    # a writer died between its data and its commit, or in the commit file: readers see the version before
+    spark.range(99).write.parquet(f"{path}/v000000000003-dead")
+    (tmp_path / "t" / "COMMIT-000000000003").write_text("v000000000003-de")
+    assert a.read().count() == 4
+    with pytest.raises(QueryError):
+        a.write(spark.range(1))
+    assert a.repair() == 1
+    a.write(spark.range(7))
+    assert a.read().count() == 7 and a.number() == 3
+    with pytest.raises(QueryError, match="nothing"):
+        dml.Snapshots(spark, f"file://{tmp_path}/none").read()
+
+
+def test_statements(spark):
+    assert dml.statement("update", "t", {"b": 1, "a": 2}) == ("UPDATE t SET `a` = ?, `b` = ?", [2, 1])
+    assert dml.upsert_sql("t", {"a": 1}, ["a"])[0].endswith("ON CONFLICT (`a`) DO NOTHING")
+    for bad in (("merge", "t", {"a": 1}), ("insert", "t; drop", {"a": 1}), ("insert", "t", {}), ("update", "t", {"a b": 1})):
+        with pytest.raises(QueryError):
+            dml.statement(*bad)
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
+    new = spark.createDataFrame([(2, None), (3, "c")], "id long, s string")
+    rows = lambda kind, keys=None: sorted(map(tuple, dml.changed(t, kind, new, keys).collect()), key=repr)
+    assert rows("insert") == [(1, "a"), (2, "b"), (2, None), (3, "c")] and rows("upsert", ["id"]) == [(1, "a"), (2, None), (3, "c")] and rows("update", ["id"]) == [(1, "a"), (2, None)]
+    with pytest.raises(QueryError):
+        dml.changed(t, "update", new)
+
+
+PUSHED = {
+    "filter_time": "GreaterThanOrEqual(ts,", "filter_time_array": "In(o_orderdate,", "ttl_live": "GreaterThan(exp,", "seq_range_filter": "GreaterThanOrEqual(id,", "kv_range": "GreaterThanOrEqual(key,", "kv_prefix": "LessThan(key,",
+}
+
+
+@pytest.mark.parametrize("name", PUSHED)
+def test_ranges_reach_the_scan(spark, data, name):
+    plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    pushed = " ".join(x for x in plan.split("\n") if "PushedFilters" in x)
+    assert PUSHED[name] in pushed.replace(" ", "") or f"{PUSHED[name][:-1]}" in pushed, pushed
+    assert name != "kv_prefix" or "Sort" not in plan
+
+
+def test_no_part_is_computed_twice(spark, data):
+    plan = queries.QUERIES["seq_no_roundtrip"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format") == 1 and plan.count("conv(") <= 3
+
+
+def test_zone_less_times_in_any_session_zone(spark):
+    t = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.123456' AS ts UNION ALL SELECT timestamp_ntz'1960-01-01 00:00:00'")
+    at = int(datetime(2024, 3, 10, 2, 30, tzinfo=timezone.utc).timestamp())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = sorted(r[0] for r in t.select(calendar.utc_micros(F.col("ts"))).collect())
+        hit = where(t, [Condition("ts", ">", Value.time(at * 10**9))]).count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [-315_619_200 * 10**6, at * 10**6 + 123456] and hit == 1
+
+
+def test_cache():
+    now = [0.0]
+    c = cache.SizedCache(30, clock=lambda: now[0], share=3)
+    with pytest.raises(ValueError, match="too large"):
+        c.set(b"k", b"x" * 20)
+    for k in (b"a", b"b", b"c", b"d"):
+        c.set(k, b"12345678", 5)
+    assert c.get(b"a") is None and c.get(b"b") == b"12345678" and c.size == 27  # the oldest went
+    c.set(b"b", b"1")
+    assert c.size == 20 and c.delete(b"b") and not c.delete(b"b")
+    now[0] = 5
+    assert c.get(b"c") is None and c.size == 9
+    c.set_with(b"n", 5, lambda v: str(v).encode())
+    assert c.get_with(b"n", int) == 5 and c.get_with(b"zz", int) is None
+    off = cache.SizedCache(30, disabled=True)
+    off.set(b"a", b"1")
+    assert off.get(b"a") is None
+
+
+def test_context():
+    c = Context({"i": 5, "b": True, "f": 0.1, "big": 2**63, "s": "x"})
+    assert (c.int("i"), c.int("b"), c.uint("big"), c.int64("big"), c.uint32("none"), c.float64("f"), c.float64("i")) == (5, 0, 2**63, 0, 0, 0.1, 0.0)
+    assert abs(c.float32("f") - 0.1) < 1e-8 and c.float32("f") != 0.1 and c.bool("b") and not c.bool("i") and c.string("s") == "x"
+    assert c.whole("i", "int32") == 5 and c.whole("b") is None and c.time("s").timestamp() == 0
+
+
+def test_hashes_and_known_cipher_text(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("abc",), ("ü" * 300,), ("",)], "s string")
+    for name in ("md5", "sha1", "sha256", "sha512"):
+        assert [r[0] for r in df.select(crypto.hash_hex(name, F.col("s"))).collect()] == [hashlib.new(name, t.encode()).hexdigest() for t in ("abc", "ü" * 300, "")]
+    # published test vectors of AES-128 in CBC mode
+    key, iv = "2b7e151628aed2a6abf7158809cf4f3c", "000102030405060708090a0b0c0d0e0f"
+    plain = "6bc1bee22e409f96e93d7e117393172aae2d8a571e03ac9c9eb76fac45af8e51"
+    want = "7649ABAC8119B246CEE98E9B12E9197D5086CB9B507219EE95DB113A917678B2"
+    b = lambda h: F.unhex(F.lit(h))
+    r = one(spark, F.hex(crypto.cbc_encrypt(b(plain), b(key), b(iv), crypto.NONE)), F.hex(crypto.cbc_encrypt(b(plain), b(key), b(iv))), F.hex(crypto.cbc_decrypt(b(want), b(key), b(iv), crypto.NONE)))
+    assert r[0] == want and r[1][:64] == want and len(r[1]) == 96 and r[2].lower() == plain
+
+
+def test_random_values_differ(spark):
+    df = spark.range(500).select(crypto.random_int(5, 9, 1).alias("i"), crypto.random_string(8, 2).alias("s"), crypto.random_bytes(40, 3).alias("b"), crypto.random_long(4).alias("n"))
+    rows = df.collect()
+    assert {r.i for r in rows} == {5, 6, 7, 8} and all(len({r[c] if c != "b" else bytes(r.b) for r in rows}) == 500 for c in ("s", "b", "n"))
+
+
+def test_filters_reach_sqlite(spark, tmp_path):
+    path = str(tmp_path / "y.db")
+    sqlite.execute(path, "create table t (id integer primary key, s text)")
+    assert sqlite.execute(path, "insert into t values (?, ?), (?, ?)", [1, "a", 2, "b"]) == (2, 2)
+    reader = sqlite.SqliteReader({"path": path, "table": "t"}, sqlite.read(spark, path, "t").schema)
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
+
+    left = list(reader.pushFilters([EqualTo(("s",), "b"), GreaterThan(("id",), 1), StringStartsWith(("s",), "b")]))
+    assert [type(f).__name__ for f in left] == ["StringStartsWith"] and [tuple(r) for p in reader.partitions() for r in reader.read(p)] == [(2, "b")]
+    assert [tuple(r) for r in sqlite.read(spark, path, "t", 2).where("id >= 2 and s in ('a', 'b') and s is not null").collect()] == [(2, "b")]
+
+
 def test_key_values(spark):
     assert kv.upper_bound(b"a\xff") == b"b" and kv.upper_bound(b"\xff\xff") is None and kv.upper_bound(b"") is None
     rows = [(b"\x00", b"0"), (b"a", b"1"), (b"a\xff", b"2"), (b"b", b"3"), (b"\xff\xff", b"4")]
@@ -321,6 +448,27 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_entry_without_corpus_operators(monkeypatch):
+    """Where the subpackage is there but can't be imported, the engine's queries are."""
+    import builtins
+    import sys
+
+    import __spark_entry__ as e
+
+    real = builtins.__import__
+
+    def refuse(name, *args, **how):
+        if name.startswith("larkspur.llm") or name == "corpus_pipeline":
+            raise ImportError(name)
+        return real(name, *args, **how)
+
+    for name in [m for m in sys.modules if m.startswith("larkspur.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", refuse)
+    with pytest.warns(UserWarning, match="no corpus operators"):
+        assert set(e.queries()) == set(queries.QUERIES)
+
+
 def test_values_that_expire(spark, tmp_path):
     """A stream's newest value by key, with counts kept over batches while they live."""
     folder, schema = str(tmp_path / "in"), "key string, value string"
