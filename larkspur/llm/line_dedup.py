@@ -26,6 +26,9 @@ gives an empty table.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -37,30 +40,31 @@ BLANKS = " \t\r\x0b\x0c\xa0\u3000"
 
 def _odd(text: Column) -> Column:
     """Whether a text holds blanks other than single spaces; only then do its lines take the longer way."""
-    return text.rlike("[\t\r\x0b\x0c\xa0\u3000]|  ")
+    return functools.reduce(operator.or_, [text.contains(x) for x in ("  ", *BLANKS[1:])])
 
 
-def _trimmed(text: Column) -> Column:
+def _trimmed(text: Column, odd: Column) -> Column:
     """The text's lines without blanks around them."""
     parts = F.split(text, "\n")
-    return F.when(_odd(text), F.transform(parts, lambda x: F.btrim(x, F.lit(BLANKS)))).otherwise(F.transform(parts, F.trim))
-
+    return F.when(odd, F.transform(parts, lambda x: F.btrim(x, F.lit(BLANKS)))).otherwise(F.transform(parts, F.trim))
 
-def _breaks(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
 
-
-def _cells(text: Column) -> Column:
+def _cells(text: Column, odd: Column) -> Column:
     """Of each non-blank line its hash and its words (runs of blanks inside and one more)."""
-    rows = F.filter(_trimmed(text), lambda x: x != "")
-    plain = lambda x: F.regexp_replace(F.translate(x, BLANKS, " " * len(BLANKS)), " +", " ")
-    cell = lambda x, words: F.struct(F.xxhash64(x).alias("h"), (words + 1).cast("long").alias("words"))
-    return F.when(_odd(text), F.transform(rows, lambda x: cell(x, _breaks(plain(x))))).otherwise(F.transform(rows, lambda x: cell(x, _breaks(x))))
+    parts = F.split(text, "\n")
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    single = lambda x: F.regexp_replace(F.translate(x, BLANKS, " " * len(BLANKS)), " +", " ")
+    cell = lambda x, n: F.struct(F.xxhash64(x).alias("h"), (n + 1).cast("long").alias("words"))
+    long_way = F.transform(F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != ""), lambda x: cell(x, breaks(single(x))))
+    short_way = F.transform(F.filter(F.transform(parts, F.trim), lambda x: x != ""), lambda x: cell(x, breaks(x)))
+    return F.when(odd, long_way).otherwise(short_way)
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Non-blank lines: doc_id, key (hash of id and text), pos (0, 1, ...), h, start (words of the document before the line), words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.posexplode(_cells(F.col(text_col))).alias("pos", "cell"))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), text.alias("text"), _odd(text).alias("odd"))
+    rows = rows.select("doc_id", "key", F.posexplode(_cells(F.col("text"), F.col("odd"))).alias("pos", "cell"))
     rows = rows.select("doc_id", "key", "pos", "cell.h", "cell.words").dropDuplicates(["key", "pos"])
     before = W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
@@ -122,8 +126,8 @@ def line_dedup(docs: DataFrame, min_words: int = 50, gram_words: int = 25, id_co
     runs = repeated_runs(docs, min_words, gram_words, id_col, text_col).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
     # A merge join at every size: the table of runs grows with the documents.
     rows = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(runs.hint("merge"), "__key", "left")
-    rows = rows.withColumn("__lines", F.split(F.col(text_col), "\n"))
-    places = F.transform(_trimmed(F.col(text_col)), lambda x, i: F.when(x != "", i))
+    rows = rows.withColumn("__lines", F.split(F.col(text_col), "\n")).withColumn("__odd", _odd(F.col(text_col)))
+    places = F.transform(_trimmed(F.col(text_col), F.col("__odd")), lambda x, i: F.when(x != "", i))
     rows = rows.withColumn("__places", F.filter(places, lambda i: i.isNotNull()))
     # what stands between the runs, by places among all lines
     edge = lambda t: F.get("__runs", t)
