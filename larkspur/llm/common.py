@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,26 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where that is unset, a folder of this machine in local mode; on a cluster it is an error, as executors
-    would each write to their own disk.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not (spark.conf.get("spark.master", "") or "").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -44,7 +30,7 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     the driver ends, or before with `forget`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/larkspur-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     fs, p = _path(spark, path)
     fs.deleteOnExit(p)
@@ -120,17 +106,3 @@ def join_sized(rows: DataFrame, sized: DataFrame, key: str, total: int, n: str =
     hot, rest = (sized.where(c).drop(n) for c in (F.col(n) > limit, F.col(n) <= limit))
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return cold.unionByName(rows.join(F.broadcast(hot), key))
-
-
-def join_salted(rows: DataFrame, wide: DataFrame, key: str, by: str, counts: DataFrame, total: int, n: str = "n") -> DataFrame:
-    """Inner join on key, where wide has each key once with rows too large to broadcast; counts has `n`, the key's rows of the `total`.
-
-    A hot key's rows are dealt to as many salts as it has two-thousandths of the rows, and its wide row is
-    copied to each: at most two thousand copies beside the table itself. `by` is the column that deals.
-    """
-    limit = max(total / 2000, 100)
-    salts = F.broadcast(counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("__salts")))
-    own = F.coalesce("__salts", F.lit(1))
-    left = rows.join(salts, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), own).cast("int")).drop("__salts")
-    right = wide.join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), own - 1))).drop("__salts")
-    return left.join(right, [key, "__salt"]).drop("__salt")
