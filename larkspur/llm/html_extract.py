@@ -11,7 +11,7 @@ Decoding gives each element one of three states, outside, article, removed, that
 an ancestor to a descendant; the assignment with the highest total log probability is found by one pass up
 and one down, so a removed menu can't hold a kept paragraph and an article's paragraph can't stand in a
 removed block. Elements that are no article by their kind (menus, forms, footers, labels, hidden ones, page
-headers, ...) force removal on everything below them. If nothing is kept though blocks of prose stand outside such
+headers, ...) force removal on everything below them, and an item of a list is article only if the list is. If nothing is kept though blocks of prose stand outside such
 elements, the article's score is raised by doubling steps until something is.
 
 The trees are trained on pages made from a rule (`html_pages`), families of layouts with names, nesting
@@ -181,6 +181,18 @@ NAMES = (
     *(f"own_{k}" for k in SAYS), *(f"up_{k}" for k in SAYS), *(f"hash{i}" for i in range(BUCKETS)),
 )
 MAIN = ("article", "main")
+#: signs that end sentences and that part them, in several scripts
+STOPS, COMMAS = ".!?。！？…।؟", ",，、،"
+ENDS_SENTENCE = re.compile(f"[{STOPS}]")
+
+
+def _count(text: str, signs: str) -> int:
+    return sum(map(text.count, signs[:3] if text.isascii() else signs))
+
+
+def _is_prose(size: int, stops: int, words: int, linked: int) -> bool:
+    """Whether a block's own text reads as prose: a sentence sign or some words, and mostly no link."""
+    return size >= 15 and (stops > 0 or words >= 6) and 2 * linked < size
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -196,7 +208,7 @@ def _said(attrs: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
 def node_features(nodes: list[Node]) -> np.ndarray:
     """A row for each element; inline mark-up without names counts in what it stands in, its own rows are not used."""
     n = len(nodes)
-    own, own_links, own_stops = [0] * n, [0] * n, [0] * n
+    own, own_links, own_stops, own_words, own_bytes = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     chars, words, links, link_chars, tags, stops, commas, paras, heads = ([0] * n for _ in range(9))
     owner, linked = list(range(n)), [False] * n
     for i, node in enumerate(nodes):
@@ -212,21 +224,24 @@ def node_features(nodes: list[Node]) -> np.ndarray:
                 t = p.strip()
                 if not t:
                     continue
-                s, dots = len(t), t.count(".") + t.count("!") + t.count("?")
+                s, dots, gaps = len(t), _count(t, STOPS), t.count(" ") + 1
+                size = s if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
                 own[o] += s
+                own_bytes[o] += size
                 own_stops[o] += dots
+                own_words[o] += gaps
                 chars[i] += s
-                words[i] += t.count(" ") + 1
+                words[i] += gaps
                 stops[i] += dots
-                commas[i] += t.count(",")
+                commas[i] += _count(t, COMMAS)
                 if linked[i]:
-                    own_links[o] += s
+                    own_links[o] += size
                     link_chars[i] += s
         links[i] = node.tag == "a"
         paras[i] = node.tag == "p"
         heads[i] = node.tag in ("h1", "h2", "h3")
-    # prose: own text of blocks with a sentence sign that is mostly no link, outside of what is never article
-    prose = [own[i] if own_stops[i] and 2 * own_links[i] < own[i] and own[i] >= 15 and not nodes[i].never else 0 for i in range(n)]
+    # prose: own text of such blocks outside of what is never article
+    prose = [own[i] if not nodes[i].never and _is_prose(own_bytes[i], own_stops[i], own_words[i], own_links[i]) else 0 for i in range(n)]
     direct = prose[:]  # of an element and of its children that are paragraphs or the like
     below = prose[:]
     articles = [node.tag in MAIN and not node.never for node in nodes]
@@ -300,21 +315,25 @@ def node_features(nodes: list[Node]) -> np.ndarray:
 
 
 def prose_outside(nodes: list[Node]) -> bool:
-    """Whether a block of prose stands outside of elements that are never article."""
-    text, link = {}, {}
-    owner, linked = list(range(len(nodes))), [False] * len(nodes)
+    """Whether a block of prose, or any text of an article or main element, stands outside of elements that are never article."""
+    text: dict[int, str] = {}
+    link: dict[int, int] = {}
+    owner, linked, inside = list(range(len(nodes))), [False] * len(nodes), [False] * len(nodes)
     for i, node in enumerate(nodes):
         if i:
             linked[i] = linked[node.parent] or node.tag == "a"
+            inside[i] = inside[node.parent] or node.tag in MAIN
             if node.inline:
                 owner[i] = owner[node.parent]
         if node.never or node.tag in RAW:
             continue
         for p in node.parts:
             if p.__class__ is str and (t := p.strip()):
+                if inside[i] and not linked[i]:
+                    return True
                 text[owner[i]] = text.get(owner[i], "") + " " + t
-                link[owner[i]] = link.get(owner[i], 0) + len(t) * linked[i]
-    return any(len(t) >= 15 and re.search(r"[.!?…。]", t) and 2 * link[i] < len(t) for i, t in text.items())
+                link[owner[i]] = link.get(owner[i], 0) + len(t.encode("utf-8", "surrogatepass")) * linked[i]
+    return any(_is_prose(len(t.encode("utf-8", "surrogatepass")), len(ENDS_SENTENCE.findall(t)), t.count(" "), link[i]) for i, t in text.items())
 
 
 # ---- gradient-boosted trees
@@ -409,6 +428,8 @@ def default_trees() -> Trees:
 # ---- decoding
 
 OUTSIDE, ARTICLE, REMOVED = 0, 1, 2
+#: parts of a whole, which are article only if the whole is
+ITEMS = frozenset("li dt dd caption figcaption legend summary".split())
 
 
 def _own(nodes: list[Node], i: int) -> int:
@@ -446,7 +467,7 @@ def decode(nodes: list[Node], score: np.ndarray) -> list[int]:
         for p in node.parts:
             if p.__class__ is int:
                 b = best[p]
-                s[OUTSIDE] += max(b[OUTSIDE], b[ARTICLE])
+                s[OUTSIDE] += b[OUTSIDE] if nodes[p].tag in ITEMS else max(b[OUTSIDE], b[ARTICLE])
                 s[ARTICLE] += max(b[ARTICLE], b[REMOVED])
                 s[REMOVED] += b[REMOVED]
         best[i] = s
@@ -458,7 +479,7 @@ def decode(nodes: list[Node], score: np.ndarray) -> list[int]:
         elif up == ARTICLE:
             state[i] = ARTICLE if b[ARTICLE] >= b[REMOVED] else REMOVED
         else:
-            state[i] = ARTICLE if b[ARTICLE] > b[OUTSIDE] else OUTSIDE
+            state[i] = ARTICLE if b[ARTICLE] > b[OUTSIDE] and nodes[i].tag not in ITEMS else OUTSIDE
     return state
 
 

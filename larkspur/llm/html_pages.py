@@ -31,15 +31,26 @@ class Maker:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.style = ""
+
+    def restyle(self) -> None:
+        """How the next page is written: with signs, without any, or in signs without spaces."""
+        self.style = self.r.choice(("signs",) * 8 + ("bare", "dense"))
 
     def word(self) -> str:
+        if self.style == "dense":
+            return "".join(chr(self.r.randint(0x4E00, 0x9000)) for _ in range(self.r.randint(1, 3)))
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 3)))
 
     def phrase(self, a: int, b: int) -> str:
-        return " ".join(self.word() for _ in range(self.r.randint(a, b)))
+        return ("" if self.style == "dense" else " ").join(self.word() for _ in range(self.r.randint(a, b)))
 
     def prose(self, a: int = 1, b: int = 6) -> str:
         r = self.r
+        if self.style == "bare":
+            return self.phrase(4, 12).capitalize()
+        if self.style == "dense":
+            return "".join(self.phrase(3, 12) + r.choice(("。", "。", "！", "？", "，" + self.phrase(2, 6) + "。")) for _ in range(r.randint(a, b)))
         return " ".join(self.phrase(3, 18).capitalize() + r.choice((".", ".", ".", "!", "?", ", " + self.phrase(2, 8) + ".")) for _ in range(r.randint(a, b)))
 
     def attr(self, names: list[str], on: float = 0.7) -> str:
@@ -58,7 +69,7 @@ class Maker:
         return r.choice((
             lambda: f"<nav{self.attr(MENU, 0.4)}><ul>{self.links(n)}</ul></nav>", lambda: f"<nav>{self.links(n, ' | ')}</nav>", lambda: f"<div{self.attr(MENU, 0.8)}>{self.links(n, r.choice((' ', ' &middot; ', ' | ')))}</div>",
             lambda: f"<ul{self.attr(MENU, 0.7)}>{self.links(n)}</ul>", lambda: f"<div{self.attr(MENU, 0.9)}><ul>{self.links(n)}</ul></div>", lambda: f"<div><div>{self.phrase(1, 2)}</div>{self.links(n, '<br>')}</div>",
-            lambda: f'<div role="navigation">{self.links(n, " ")}</div>',
+            lambda: f'<div role="navigation">{self.links(n, " ")}</div>', lambda: f"<ul{self.attr(MENU, 0.8)}><li>{self.phrase(1, 2)}<ul>{self.links(r.randint(1, 4))}</ul></li>{self.links(n)}</ul>",
         ))()
 
     def header(self) -> str:
@@ -259,6 +270,15 @@ def news(m: Maker) -> str:
     return m.framed(m.around(f"<{t}{K}{m.attr(GOOD, 0.8)}>{m.title(1)}{m.byline()}{parts}</{t}>", 3), 0.6)
 
 
+def parts(m: Maker) -> str:
+    """An article in several unnamed parts that stand beside each other."""
+    r = m.r
+    t = r.choice(("section", "section", "div"))
+    one = lambda: f"<{t}{K}{m.attr(NEUTRAL, 0.15)}>{f'<h2{K}>{m.phrase(1, 6)}</h2>' if r.random() < 0.8 else ''}{m.flow(r.randint(1, 3), 0.15, 0.03)}</{t}>"
+    body = (m.title() if r.random() < 0.6 else "") + "".join(one() for _ in range(r.randint(2, 6)))
+    return (m.header() if r.random() < 0.4 else "") + (m.menu() if r.random() < 0.7 else "") + m.around(body, 1) + (m.side() if r.random() < 0.3 else "") + (m.footer() if r.random() < 0.7 else "")
+
+
 def listing(m: Maker) -> str:
     """Articles that are mostly lists."""
     r = m.r
@@ -267,7 +287,7 @@ def listing(m: Maker) -> str:
     return m.framed(f"<{t}{K}{m.attr(GOOD, 0.6)}>{m.title()}{m.paragraph()}<{(s := r.choice(('ol', 'ul')))}{K}>{items}</{s}>{m.paragraph() if r.random() < 0.5 else ''}</{t}>", 0.3)
 
 
-FAMILIES = {f.__name__: f for f in (classic, plain_article, bare, fragment, unnamed, tables, manual, blog, named_oddly, news, listing)}
+FAMILIES = {f.__name__: f for f in (classic, plain_article, bare, fragment, unnamed, tables, manual, blog, named_oddly, news, parts, listing)}
 
 
 def labelled_pages(each: int, seed: int, families=FAMILIES) -> list[str]:
@@ -276,6 +296,7 @@ def labelled_pages(each: int, seed: int, families=FAMILIES) -> list[str]:
     for name in families:
         m = Maker(hash_of(name, seed))
         for _ in range(each):
+            m.restyle()
             inner = FAMILIES[name](m)
             if name == "fragment":
                 pages.append(inner)
