@@ -46,7 +46,7 @@ def _odd(text: Column) -> Column:
 def _trimmed(text: Column, odd: Column) -> Column:
     """The text's lines without blanks around them."""
     parts = F.split(text, "\n")
-    return F.when(odd, F.transform(parts, lambda x: F.btrim(x, F.lit(BLANKS)))).otherwise(F.transform(parts, F.trim))
+    return F.when(odd, F.transform(parts, lambda x: F.btrim(x, F.lit(BLANKS)))).otherwise(F.transform(parts, lambda x: F.trim(x)))
 
 
 def _cells(text: Column, odd: Column) -> Column:
@@ -56,7 +56,7 @@ def _cells(text: Column, odd: Column) -> Column:
     single = lambda x: F.regexp_replace(F.translate(x, BLANKS, " " * len(BLANKS)), " +", " ")
     cell = lambda x, n: F.struct(F.xxhash64(x).alias("h"), (n + 1).cast("long").alias("words"))
     long_way = F.transform(F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != ""), lambda x: cell(x, breaks(single(x))))
-    short_way = F.transform(F.filter(F.transform(parts, F.trim), lambda x: x != ""), lambda x: cell(x, breaks(x)))
+    short_way = F.transform(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), lambda x: cell(x, breaks(x)))
     return F.when(odd, long_way).otherwise(short_way)
 
 

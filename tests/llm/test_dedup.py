@@ -214,6 +214,14 @@ def test_words_are_runs_of_other_signs(spark):
     assert [r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame([(1, table), (2, table)], "doc_id long, text string")).collect()] == [0, 0]
 
 
+def test_only_blanks_are_trimmed(spark):
+    """Lines that differ in digits at their ends are different, and spaces around a line are not part of it."""
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(k, "\n".join((f"{k}0", f" {body}" if k % 2 else f"{body}  ", f"{k}1", f"2{k}"))) for k in range(4)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (rows[0][1], 4, 0)} | {k: (f"{k}0\n{k}1\n2{k}", 4, 1) for k in range(1, 4)}
+
+
 def test_one_passage_in_many_documents(spark):
     """A licence text in 20,000 documents, alone, after and before other lines; its first place alone keeps it."""
     licence = "\n".join(" ".join(f"l{i}w{j}" for j in range(12)) for i in range(6))
