@@ -232,6 +232,7 @@ def links(fps: DataFrame, n: int, radius: int = 4, chunk: int = 1024, round_byte
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in wanted])
     spread = fps.select("fp", F.posexplode(keys).alias("band", "key")).select("fp", F.xxhash64("band", "key").alias("shard"))
     sizes = spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    sizes = materialize(sizes, "sizes")
     # Shards of one member hold no link and are left out.
     dealt = join_sized(spread, sizes, "shard", n * len(wanted)).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     dealt = dealt.select("shard", "chunk", "chunks", "fp").repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "fp")
@@ -268,6 +269,7 @@ def links(fps: DataFrame, n: int, radius: int = 4, chunk: int = 1024, round_byte
             yield flush()
 
     made = materialize(dealt.mapInArrow(build, "shard long, chunk int, fp long, root long, tree binary"), "shards")
+    forget(sizes)
     edges = [made.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))]
     trees = made.where("tree is not null").select("shard", "chunk", "tree")
     size = trees.agg(F.sum(F.octet_length("tree"))).first()[0] or 0
@@ -280,6 +282,7 @@ def links(fps: DataFrame, n: int, radius: int = 4, chunk: int = 1024, round_byte
         shared = fps.sparkSession.sparkContext.broadcast(held)
         asked = made.where("tree is null").join(F.broadcast(own.select("shard").distinct()), "shard", "left_semi")
         edges.append(materialize(asked.select("shard", "chunk", "fp", "root").mapInArrow(_search(shared, radius), "a long, b long"), "found"))
+        shared.destroy()  # else the driver keeps the trees of all rounds
     return functools.reduce(DataFrame.union, edges).distinct()
 
 
@@ -299,20 +302,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """From links (a, b): node, root (the smallest node of its class) for every node in a link.
 
     Alternates large-star (each node's larger neighbours to its smallest) and small-star (its smaller
-    ones). Every round is written to the shared folder; they are few, as a class's paths halve.
+    ones). Every round is written to the shared folder; they are few, as a class's paths halve. So are both
+    halves and the smallest neighbours: `join_sized` reads its sides more than once, so one plan of a whole round would read
+    dozens of tables, and the driver plans it anew after each of its stages.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen, n = None, now.count()
     for _ in range(rounds):
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u")), "low")
         large = join_sized(both, low, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = materialize(large.where("u <> v").distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = join_sized(large, low, "u", n).select(F.explode(ends).alias("e")).select("e.*")
+        small = join_sized(large, least, "u", n).select(F.explode(ends).alias("e")).select("e.*")
         before, now = now, materialize(small.where("u <> v").distinct(), "links")
-        forget(before)
+        forget(before, low, large, least)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -327,7 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, chunk: i
     found = components(links(distinct.select("fp"), distinct.count(), radius, chunk))
     found = materialize(found.union(found.select(F.col("root").alias("node"), "root").distinct()), "classes")
     named = found.join(distinct.select(F.col("fp").alias("node"), "first"), "node")
-    best = named.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n"))
+    best = materialize(named.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")), "best")
     named = join_sized(found, best, "root", found.count()).select(F.col("node").alias("fp"), "root", "best")
     names = distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("class"), F.coalesce("best", "first").alias("component_id"))
     names = materialize(names, "names")

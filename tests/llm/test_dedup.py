@@ -123,6 +123,20 @@ def test_near_duplicates_of_all(spark, docs):
     assert {r.doc_id: r.component_id for r in rows} == {i: ids[w] for i, w in zip(ids, want, strict=True)}
 
 
+def test_no_written_plan_repeats_another(spark, docs, monkeypatch):
+    """The driver holds each plan, anew after each stage: none reads more tables than one join of hot keys does."""
+    reads = {}
+
+    def seen(df, tag, write=simhash.materialize):
+        reads[tag] = max(reads.get(tag, 0), df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return write(df, tag)
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    found = simhash.near_duplicates(docs)
+    reads["all"] = found._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert max(reads.values()) <= 8, reads
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
